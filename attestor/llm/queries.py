@@ -41,14 +41,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_topk_search": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
     FROM embeddings
     WHERE embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ),
 s AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), p -> coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+           CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
     FROM v q JOIN v c ON c.vec_id <> q.vec_id
     WHERE q.vec_id % 100 = 0
 ),
