@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe_codec, chat_format, token_counts, topk
+from attestor.llm import bpe_codec, chat_format, near_dup, token_counts, topk
 from attestor.llm.common import table
 
 
@@ -31,11 +31,16 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
 
 
+def op9_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_topk_search": op6_topk_search,
+    "op9_minmax_near_dup": op9_minmax_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {
