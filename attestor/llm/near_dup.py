@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, id_col:
     firsts = linkable.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     pairs = materialize(buckets(firsts, threshold / 100), folder, "pairs")
     wanted = pairs.select(F.col("member").alias("doc_id")).unionByName(pairs.select(F.col("centre").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), folder, "texts")
+    # the ids grow with the corpus, so the join is one that needs neither side to be small
+    texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), folder, "texts")
     compared = materialize(compare(pairs, texts, size, threshold), folder, "compared")
     links = compared.where("linked").select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(cross_links(compared, threshold))
     joined = components(links, folder)
