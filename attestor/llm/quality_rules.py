@@ -3,8 +3,8 @@
 A public vocabulary with byte fallback tokenises every word of every whole text. Three measures are taken: characters
 per token, the share of byte-fallback tokens, and token entropy (in windows of WINDOW tokens, as a share of the largest
 entropy a window of its length can have, so that it doesn't depend on a text's length). Spark takes the quartiles of
-each measure over all documents of a language; a text is rejected where a measure leaves the fences FENCE interquartile
-ranges beyond them, or the least widths given by MARGIN.
+each measure over all documents of a language that pass the base rules; a text is rejected where a measure leaves the
+fences FENCE interquartile ranges beyond them (MARGIN at least).
 
 Base rules: base_failed if fewer than `least_words` words, or if more than `most_repeats` percent of the words lie in
 windows of eight words that occur twice or more in the text.
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from attestor.llm.common import map_arrow, materialize, record_batch, shared_dir
 
 WINDOW, CACHE_ENTRIES, FENCE = 256, 500_000, 4.0
-#: The least distance of a fence from its quartile, for each measure.
+#: The least distance of a fence from its quartile, for each measure, and on which sides it has fences: a short window
+#: has a large share of its largest entropy by nature, and no fallback at all is fine.
 MARGIN = {"chars_per_token": 0.35, "byte_share": 0.02, "entropy": 0.05}
+SIDES = {"chars_per_token": (-1, 1), "byte_share": (1,), "entropy": (-1,)}
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -137,7 +139,7 @@ def bands(rows: DataFrame) -> DataFrame:
         width = F.greatest(FENCE * (high - low), F.lit(MARGIN[measure]))
         return low - width if side < 0 else high + width
 
-    return quartiles.select("language", *[fence(m, s).alias(f"{'least' if s < 0 else 'most'}_{m}") for m in MARGIN for s in (-1, 1)])
+    return quartiles.select("language", *[fence(m, s).alias(f"{'least' if s < 0 else 'most'}_{m}") for m in MARGIN for s in SIDES[m]])
 
 
 def judge(docs: DataFrame, model: str, least_words: int = 20, most_repeats: int = 30) -> DataFrame:
@@ -147,5 +149,7 @@ def judge(docs: DataFrame, model: str, least_words: int = 20, most_repeats: int
     judged = rows.join(F.broadcast(bands(rows.where(~F.col("base_failed")))), "language", "left")
     inside = F.lit(True)
     for m in MARGIN:
-        inside = inside & F.coalesce(F.col(m).between(F.col(f"least_{m}"), F.col(f"most_{m}")), F.lit(True))
+        for side in SIDES[m]:
+            within = F.col(m) >= F.col(f"least_{m}") if side < 0 else F.col(m) <= F.col(f"most_{m}")
+            inside = inside & F.coalesce(within, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "language", "n_tokens", *MARGIN)

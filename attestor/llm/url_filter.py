@@ -36,7 +36,7 @@ BUCKETS, RANK_SHIFT, MOST_LETTERS, CACHE_ENTRIES = 1 << 16, 20, 128, 200_000
 UNKNOWN = -12.0, -2.5
 #: Pseudo-count of a seed word in class block, and of any bucket in either class.
 SEED_WEIGHT, SMOOTHING = 3.0, 0.5
-SEEDS = "casino poker jackpot roulette slots betting gambling lottery adult porn porno xxx sex nude escort ads adserver advert banner popup tracker doubleclick affiliate viagra cialis pills payday warez crack torrent malware phishing".split()
+SEEDS = "casino poker jackpot roulette slots bet bets betting gambling lottery adult porn porno xxx sex nude escort ads adserver advert banner popup tracker doubleclick affiliate viagra cialis pills payday warez crack torrent malware phishing spam".split()
 
 _SEGMENTERS: dict[str, "Segmenter"] = {}
 
