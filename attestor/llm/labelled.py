@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, most_bytes: int | None = None) -> DataFrame:
-    """text and label (0 or 1) of at most `rows` labelled documents, those with the smallest hash of doc_id, among the
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, most_bytes: int | None = None, classes: int = 2) -> DataFrame:
+    """doc_id, text and label (0 to classes - 1) of at most `rows` labelled documents, those with the smallest hash of doc_id, among the
     label rows for which `usable` (a condition on doc_id) holds. most_bytes leaves out longer texts, which bounds what
     a driver collects; it concerns the fitting only. The chosen labels are at most `rows` small rows, so they are
     broadcast and the documents aren't shuffled."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-        .where(usable & F.col("label").isin(0, 1))
+        .where(usable & F.col("label").between(0, classes - 1))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(rows)
     )

@@ -29,7 +29,9 @@ WIDTH, FILTERS, HIDDEN = 6, 16, 12
 LAGS, WINDOW = range(1, 25), 32
 #: Bytes of a chunk; the next one begins WIDTH - 1 bytes before its end.
 CHUNK = 4096
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH = 4000, 20_000, 8, 32
+TRAIN_ROWS, TRAIN_BYTES, BATCH = 4000, 20_000, 32
+#: Passes over the sample, and optimiser steps at least (small samples are passed over more often).
+EPOCHS, LEAST_STEPS = 8, 800
 
 
 class Network:
@@ -112,11 +114,13 @@ class Network:
         fixed = np.stack([self.matches(d) for d in data])
         share = y.mean()
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
-        first, second, step = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2)), None, 0
-        first, second = first
-        for epoch in range(EPOCHS):
-            rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
-            for rows in np.array_split(random.permutation(len(y)), max(1, len(y) // BATCH)):
+        first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
+        step = 0
+        batches = max(1, len(y) // BATCH)
+        epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+        for epoch in range(epochs):
+            rate = 0.01 * (1 - epoch / epochs) + 0.0005
+            for rows in np.array_split(random.permutation(len(y)), batches):
                 found = [self.convolve(data[i]) for i in rows]
                 raw = np.stack([f[0] for f in found]) + self.weights["bias"]
                 pooled = np.concatenate((np.maximum(raw, 0), fixed[rows]), axis=1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe_codec, chat_format, near_dup, quality_cnn, quality_rules, token_counts, topk, toxicity, url_filter
+from attestor.llm import bpe_codec, chat_format, mixing, near_dup, quality_cnn, quality_rules, token_counts, topk, toxicity, url_filter
 from attestor.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.rates(docs, docs.select("doc_id", F.col("lang").alias("domain")), {"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15})
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), least_words=20, most_repeats=30)
 
@@ -52,6 +57,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=4, held_out=2)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -59,9 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_topk_search": op6_topk_search,
+    "op7_source_mixing": op7_source_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_minmax_near_dup": op9_minmax_near_dup,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
