@@ -1,0 +1,5 @@
+"""The registered queries by area."""
+
+from attestor.plans import retrieval_queries, text_queries
+
+REGISTRIES = [text_queries.registry, retrieval_queries.registry]
