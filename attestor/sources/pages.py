@@ -53,16 +53,12 @@ def shred_sitemap(df: DataFrame, payload: str) -> DataFrame:
 
 
 def shred_feed(df: DataFrame, payload: str) -> DataFrame:
-    """A row (title, link, published) for each item of RSS or entry of Atom payloads."""
-    p = F.col(payload)
-    at = lambda k, path: F.xpath_string(p, F.concat(F.lit("(//*[local-name()='item' or local-name()='entry'])["), k.cast("string"), F.lit(f"]{path}")))
-    count = F.xpath_int(p, F.lit("count(//*[local-name()='item' or local-name()='entry'])"))
-    numbered = df.withColumn("__k", F.explode(F.when(count > 0, F.sequence(F.lit(1), count))))
-    k = F.col("__k")
-    first = lambda *paths: F.coalesce(*[F.nullif(F.trim(at(k, x)), F.lit("")) for x in paths])
-    return numbered.select(
-        *[c for c in df.columns if c != payload],
-        first("/*[local-name()='title']").alias("title"),
-        first("/*[local-name()='link']/text()", "/*[local-name()='link']/@href").alias("link"),
-        first("/*[local-name()='pubDate']", "/*[local-name()='published']", "/*[local-name()='updated']").alias("published"),
-    )
+    """A row (title, link, published) for each item of RSS or entry of Atom payloads, name spaces aside."""
+    items = F.regexp_extract_all(F.col(payload), F.lit(r"(?is)<(?:\w+:)?(?:item|entry)\b[^>]*>.*?</(?:\w+:)?(?:item|entry)>"), F.lit(0))
+
+    def field(name: str) -> Column:
+        inner = F.regexp_extract("__item", rf"(?is)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}>", 1)
+        return F.nullif(F.trim(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit(""))
+
+    href = F.nullif(F.regexp_extract("__item", r"(?is)<(?:\w+:)?link\b[^>]*\bhref\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
+    return df.withColumn("__item", F.explode(items)).select(*[c for c in df.columns if c != payload], field("title").alias("title"), F.coalesce(field("link"), href).alias("link"), F.coalesce(field("pubDate"), field("published"), field("updated")).alias("published"))
