@@ -123,11 +123,10 @@ class Bayes:
         counts = np.zeros((BUCKETS, 2))
         for b, block, allow in rows:
             counts[b] = block, allow
-        used = counts.sum(axis=1) >= 2
-        for seed in SEEDS:
-            counts[bucket(f"h {seed}"), 0] += SEED_WEIGHT
-            used[bucket(f"h {seed}")] = True
-        mass = counts[used].sum(axis=0) + SMOOTHING * used.sum()
+        used, seeds = counts.sum(axis=1) >= 2, [bucket(f"h {seed}") for seed in SEEDS]
+        used[seeds] = True
+        mass = counts[used].sum(axis=0) + SMOOTHING * used.sum()  # without the pseudo-counts of the many seeds
+        counts[seeds, 0] += SEED_WEIGHT
         self.weights = np.where(used, np.log((counts[:, 0] + SMOOTHING) / mass[0]) - np.log((counts[:, 1] + SMOOTHING) / mass[1]), 0.0)
         self.prior = math.log((blocked + 1) / (allowed + 1))
 
