@@ -94,7 +94,7 @@ def test_repeated_words_equal_brute_force():
 def test_rules(spark):
     rnd = random.Random(5)
     clean = [" ".join(rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(rnd.randint(25, 80))) for _ in range(60)]
-    odd = ["a\nb\na\n\n\u00a0\nb", None, "", " ".join("\U00012000\U00012001" for _ in range(40)), "# $ x|y <b>"]
+    odd = ["a\nb\na\n\n\u00a0\nb", None, "", " ".join(chr(0x12000 + k) + chr(0x12001) for k in range(40)), "# $ x|y <b>"]
     rows = [(i, t, "en", 1) for i, t in enumerate(clean)] + [(100 + i, t, "en", 1) for i, t in enumerate(odd)] + [(200, clean[0], None, 1)]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, entropy int"), public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert all(got[i].kept for i in range(60)) and got[200].kept and len(got) == 66
