@@ -38,8 +38,9 @@ from attestor.llm.common import map_arrow, materialize, record_batch, shared_dir
 #: Values in a band and bands; two values come from each permutation.
 ROWS, BANDS = 4, 18
 SEED = 20240607
-#: Unlinked members whose differences one task indexes at once, and members compared with one copy of a centre.
-INDEX_BLOCK, CENTRE_BLOCK = 1024, 256
+#: Unlinked members whose differences one task indexes, members that stream past them in one task, and members compared
+#: with one copy of a centre. So no group, however large, meets in one task.
+INDEX_BLOCK, PASSING_BLOCK, CENTRE_BLOCK = 512, 512, 256
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -162,20 +163,22 @@ class _Index:
 def cross_links(compared: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) between members of one centre of which at least one isn't linked to it."""
     groups = compared.groupBy("centre").agg(F.count_if(~F.col("linked")).alias("unlinked"), F.count(F.lit(1)).alias("members")).where("unlinked > 0 and members > 1")
-    blocks = groups.select("centre", F.ceil(F.col("unlinked") / INDEX_BLOCK).alias("blocks"))
+    blocks = groups.select("centre", F.ceil(F.col("unlinked") / INDEX_BLOCK).alias("blocks"), F.ceil(F.col("members") / PASSING_BLOCK).alias("slices"))
     rows = compared.where(F.col("difference").isNotNull()).join(blocks, "centre")
-    held = rows.where(~F.col("linked")).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks"))).withColumn("passing", F.lit(False))
-    passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("passing", F.lit(True))
-    columns = ["centre", "block", "passing", "member", "n", "d", "linked", "difference"]
-    dealt = held.select(columns).unionByName(passing.select(columns)).repartition("centre", "block").sortWithinPartitions("centre", "block", "passing")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt_to = lambda n: F.pmod(F.xxhash64("member"), F.col(n))
+    held = rows.where(~F.col("linked")).withColumn("block", dealt_to("blocks")).withColumn("slice", each("slices")).withColumn("passing", F.lit(False))
+    passing = rows.withColumn("slice", dealt_to("slices")).withColumn("block", each("blocks")).withColumn("passing", F.lit(True))
+    columns = ["centre", "block", "slice", "passing", "member", "n", "d", "linked", "difference"]
+    dealt = held.select(columns).unionByName(passing.select(columns)).repartition("centre", "block", "slice").sortWithinPartitions("centre", "block", "slice", "passing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, index = None, [], None
         for batch in batches:
             found = []
-            for centre, block, is_passing, member, n, d, linked, difference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (centre, block) != now:
-                    now, rows, index = (centre, block), [], None
+            for centre, block, part, is_passing, member, n, d, linked, difference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (centre, block, part) != now:
+                    now, rows, index = (centre, block, part), [], None
                 if not is_passing:
                     rows.append((member, n, d, difference))
                     continue

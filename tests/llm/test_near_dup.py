@@ -52,6 +52,7 @@ def corpus(seed):
 def test_groups_equal_brute_force(spark, monkeypatch, size, threshold):
     monkeypatch.setattr(near_dup, "INDEX_BLOCK", 8)
     monkeypatch.setattr(near_dup, "CENTRE_BLOCK", 5)
+    monkeypatch.setattr(near_dup, "PASSING_BLOCK", 7)
     rows = corpus(size)
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_shingles int")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, size, threshold).collect()}
