@@ -1,9 +1,33 @@
-"""The Spark session that the engine expects: UTC, adaptive execution."""
+"""The Spark session that the engine expects: UTC, adaptive execution, this package on its Python workers."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once, so that they needn't have it on their own path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="attestor-")  # the driver serves the archive from here until the session ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
 
 def session(app: str = "attestor", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings. Cluster settings (master, memory, checkpoint folder) come from outside;

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from attestor.session import ship_package
+
 FENCE = "---\n"
 
 
@@ -63,6 +65,7 @@ def read_front_matter(spark: SparkSession, path: str, pattern: str = "*.md", str
             body = pa.array([f[1] if f else t for f, t in zip(found, batch.column(1).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), meta, body, batch.column(2), pa.array([bool(f) for f in found])], names=["path", "meta", "body", "raw_sha256", "readable"])
 
+    ship_package(spark)
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value"), F.sha2("value", 256).alias("raw_sha256"))
     return rows.mapInArrow(run, "path string, meta map<string,array<string>>, body string, raw_sha256 string, readable boolean")
