@@ -117,3 +117,27 @@ def extract_sentences(ranked: DataFrame, docs: DataFrame, asked: DataFrame, most
     scored = hits.withColumn("score", F.round(3 * F.col("hits") - 0.03 * F.col("pos"), 6))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "rank", "doc_id", "pos")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("item_id", "place", "doc_id", F.col("pos").cast("long").alias("pos"), "sentence", "score")
+
+
+def near_sentence(a: Column, b: Column, similar: float = 0.68, contained: float = 0.62) -> Column:
+    """Whether two sentences say the same: equal when normalised, one contained in the other at a length ratio of
+    `contained`, or a Jaccard similarity of their words of three letters and more of at least `similar`."""
+    x, y = T.norm(a), T.norm(b)
+    long_words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: F.length(w) >= 3))
+    wx, wy = long_words(x), long_words(y)
+    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y), F.lit(1))
+    overlap = F.size(F.array_intersect(wx, wy)) / F.greatest(F.size(F.array_union(wx, wy)), F.lit(1))
+    return (x == y) | ((F.contains(x, y) | F.contains(y, x)) & (ratio >= contained)) | (overlap >= similar)
+
+
+def without_near_sentences(extracted: DataFrame, most: int = 6) -> DataFrame:
+    """A greedy pass over each question's extracted sentences in order (a bounded list): a sentence near one that was
+    kept is dropped, and `most` are kept. extracted: (item_id, place, doc_id, sentence)."""
+    listed = extracted.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", "doc_id", "sentence"))).alias("rows"))
+    start = F.slice("rows", 1, 0)
+
+    def step(kept: Column, row: Column) -> Column:
+        near = F.exists(kept, lambda k: near_sentence(k["sentence"], row["sentence"]))
+        return F.when(near | (F.size(kept) >= most), kept).otherwise(F.array_append(kept, row))
+
+    return listed.select("item_id", F.posexplode(F.aggregate("rows", start, step)).alias("n", "r")).select("item_id", (F.col("n") + 1).alias("place"), "r.doc_id", "r.sentence")

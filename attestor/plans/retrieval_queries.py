@@ -194,3 +194,22 @@ def topic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = T.tokens(F.coalesce(F.get(T.sentences(F.col("text"), 1), F.lit(0)), F.lit("")))
     weighed = docs.select("doc_id", F.explode(F.concat(F.transform(first, lambda t: F.struct(t.alias("term"), F.lit(2.5).alias("w"))), F.transform(T.tokens(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"))))).alias("x")).select("doc_id", "x.term", "x.w")
     return weighed.join(F.broadcast(five), "term", "left_semi").groupBy("doc_id").agg(F.sum("w").alias("score")).where("score >= 1.5")
+
+
+@query(_WITH + f""", s0 AS (SELECT item_id, doc_id, rank, {_SENTENCES} AS l FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10),
+s1 AS (SELECT item_id, doc_id, rank, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM s0),
+s2 AS (SELECT DISTINCT item_id, doc_id, rank, pos, sentence, unnest({sql_words('sentence')}) AS term FROM s1),
+s3 AS (SELECT item_id, doc_id, rank, pos, sentence, round(3 * count(*) - 0.03 * pos, 6) AS score FROM s2 JOIN asked USING (item_id, term) GROUP BY item_id, doc_id, rank, pos, sentence)
+SELECT item_id, CAST(place AS INTEGER) AS place, doc_id, pos, sentence, CAST(score AS DOUBLE) AS score, regexp_matches(sentence, '[0-9]') AS detail FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, doc_id, pos) AS place FROM s3) WHERE place <= 10""")
+def extractive_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The looser profile: ten texts, ten sentences, and whether a sentence gives a number."""
+    docs, _, index, asked = _parts(spark, sf_dir)
+    rows = R.extract_sentences(R.top(R.bm25(index, asked), 10), docs, asked, 10)
+    return rows.withColumn("detail", F.col("sentence").rlike("[0-9]"))
+
+
+@query()
+def neardup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted sentences without those near a better one."""
+    docs, _, index, asked = _parts(spark, sf_dir)
+    return R.without_near_sentences(R.extract_sentences(R.top(R.bm25(index, asked), 10), docs, asked, 20), 6)

@@ -76,3 +76,10 @@ def test_retrieval_refuses_unknown_qualifiers(spark):
     index = R.build_index(docs, stop_words=0)
     asked = R.question_terms(questions, index.stop)
     assert dict(rows(R.diagnostics(questions, asked, index, R.bm25(index, asked)), "item_id")) == {1: "answerable", 2: "unknown_qualifier", 3: "empty"}
+
+
+def test_near_sentences_are_dropped(spark):
+    said = ["La retraite passe à 64 ans pour tous.", "la retraite passe a 64 ans pour tous", "La retraite passe à 64 ans pour tous les salariés.", "Les impôts baissent."]
+    df = spark.createDataFrame([(1, k, 10 + k, s) for k, s in enumerate(said)], "item_id int, place int, doc_id int, sentence string")
+    assert rows(R.without_near_sentences(df, 6), "place") == [(1, 1, 10, said[0]), (1, 2, 13, said[3])]
+    assert rows(R.without_near_sentences(df, 1), "place") == [(1, 1, 10, said[0])]
