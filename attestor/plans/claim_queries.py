@@ -21,7 +21,7 @@ cells AS (SELECT n.n_nationkey AS actor, t.topic, count(c.o_orderkey) AS claims,
   FROM nation n CROSS JOIN (SELECT DISTINCT o_orderpriority AS topic FROM orders) t LEFT JOIN current c ON c.actor = n.n_nationkey AND c.topic = t.topic GROUP BY ALL),
 marks AS (SELECT actor, topic, count(*) AS items, count(*) FILTER (WHERE explicit) AS explicit, count(*) FILTER (WHERE price > 150000) AS "primary",
   sum(CASE status WHEN 'F' THEN 4.0 WHEN 'O' THEN 3.0 ELSE 1.0 END) AS score FROM claims WHERE date >= TIMESTAMP '1996-03-01' AND date < TIMESTAMP '1996-04-01' GROUP BY ALL),
-levels AS (SELECT n.n_nationkey AS actor, t.topic, coalesce(items, 0) AS items, coalesce(score, 0) AS score,
+levels AS (SELECT n.n_nationkey AS actor, t.topic, coalesce(items, 0) AS items, coalesce(score, 0)::DOUBLE AS score,
   CASE WHEN explicit >= 2 OR (items >= 2 AND score >= 5 AND ("primary" >= 1 OR explicit >= 1)) THEN 'documented' WHEN items > 0 THEN 'partial' ELSE 'none' END AS level
   FROM nation n CROSS JOIN (SELECT DISTINCT o_orderpriority AS topic FROM orders) t LEFT JOIN marks m ON m.actor = n.n_nationkey AND m.topic = t.topic)
 """
@@ -198,7 +198,7 @@ def supersession_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.supersession(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", "o_orderdate").select("o_custkey", "o_orderpriority", "o_orderkey", "superseded_by")
 
 
-@query("SELECT o_orderkey AS node, least(10, count(*) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) - 1) AS length FROM orders")
+@query("SELECT o_orderkey AS node, least(10, count(*) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) - 1)::INTEGER AS length FROM orders")
 def supersession_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = C.supersession(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", "o_orderdate")
     return C.closure(links, "o_orderkey", "superseded_by", 10)
@@ -209,7 +209,7 @@ def status_scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validity_intervals(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey")
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'P' THEN 'historical' ELSE 'current' END AS state, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS place FROM orders")
+@query("SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'P' THEN 'historical' ELSE 'current' END AS state, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey)::INTEGER AS place FROM orders")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") == "P", "historical").otherwise("current").alias("state"), F.row_number().over(order).alias("place"))
