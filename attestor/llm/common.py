@@ -46,7 +46,7 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def drop_dir(spark: SparkSession, folder: str) -> None:
-    """Remove a folder made by shared_dir; results that still read it must have been written before."""
+    """Remove a folder below shared_dir that nothing will read again."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

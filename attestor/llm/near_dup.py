@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import shingles
-from attestor.llm.common import map_arrow, materialize, record_batch, shared_dir
+from attestor.llm.common import drop_dir, map_arrow, materialize, record_batch, shared_dir
 
 #: Values in a band and bands; two values come from each permutation.
 ROWS, BANDS = 4, 18
@@ -203,6 +203,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         nearer = labels.join(seen, "node").select("node", "component", F.least("component", "near").alias("near"))
         far = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
         after = materialize(nearer.join(far, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("changed")), folder, f"labels{k}")
+        drop_dir(links.sparkSession, f"{folder}/labels{k - 1}")
         labels = after.select("node", "component")
         if after.where("changed").isEmpty():
             return labels
@@ -225,6 +226,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, id_col:
     compared = materialize(compare(pairs, texts, size, threshold), folder, "compared")
     links = compared.where("linked").select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(cross_links(compared, threshold))
     joined = components(links, folder)
+    for name in ("pairs", "texts", "compared", "edges"):  # what follows reads signatures, classes and labels only
+        drop_dir(spark, f"{folder}/{name}")
     grouped = classes.join(joined.select(F.col("node").alias("first"), "component"), "first", "left").select("digest", F.coalesce("component", "first").alias("group"))
     return (
         signed.select("doc_id", "n_shingles", "digest")
