@@ -248,10 +248,12 @@ def corpus_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.greatest(at("F"), at("O"), F.lit("1995-01-01").cast("timestamp")).alias("freshness"))
 
 
-@query("SELECT source, count(*) AS parts, sha256(list_aggregate(list(sha256(text) ORDER BY doc_id), 'string_agg', chr(10))) AS digest, list_aggregate(list_sort(list(DISTINCT lang)), 'string_agg', ',') AS labels FROM documents GROUP BY source")
+@query("""SELECT source || '/' || doc_id // 1000 AS record, count(*) AS parts, sha256(list_aggregate(list(sha256(text) ORDER BY doc_id), 'string_agg', chr(10))) AS digest,
+list_aggregate(list_sort(list(DISTINCT lang)), 'string_agg', ',') AS labels FROM documents GROUP BY 1""")
 def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a source merged in order, by the digests of their texts (64 characters each)."""
-    return C.merge_record(table(spark, sf_dir, "documents"), "source", "doc_id", F.sha2("text", 256), "lang")
+    """Records of a source merged in order; a record holds the documents of one thousand ids, so it is bounded."""
+    record = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"))
+    return C.merge_record(table(spark, sf_dir, "documents").withColumn("record", record), "record", "doc_id", F.sha2("text", 256), "lang")
 
 
 @query("SELECT l_orderkey, count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = count(*) AND min(l_linenumber) = 1 AS complete, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey")

@@ -37,19 +37,20 @@ def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST = "list_extract(list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 12), 1)"
-_NUMBERS = """list_distinct(list_transform(regexp_extract_all({x}, '[0-9]+'), lambda n: n))"""
 
 
-@query(f"""WITH c AS (SELECT doc_id, source, lang, list_distinct({sql_words('s')}) AS w, {_NUMBERS.format(x='s')} AS n FROM (SELECT doc_id, source, lang, {_FIRST} AS s FROM documents) WHERE s IS NOT NULL),
+@query(f"""WITH c AS (SELECT min(doc_id) AS doc_id, source, lang, list_distinct({sql_words('s')}) AS w, list_distinct(regexp_extract_all(s, '[0-9]+')) AS n FROM (SELECT doc_id, source, lang, {_FIRST} AS s FROM documents) WHERE s IS NOT NULL GROUP BY source, lang, s),
 t AS (SELECT token, count(*) AS df FROM (SELECT unnest(w) AS token FROM c) GROUP BY token),
-k AS (SELECT c.*, arg_min(token, (df, token)) AS rare FROM (SELECT doc_id, source, lang, w, n, unnest(w) AS token FROM c) c JOIN t USING (token) GROUP BY ALL)
+k AS (SELECT c.*, rare FROM c JOIN (SELECT doc_id, arg_min(token, (df, token)) AS rare FROM (SELECT doc_id, unnest(w) AS token FROM c) JOIN t USING (token) GROUP BY doc_id) USING (doc_id))
 SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.source = y.source AND x.lang = y.lang AND x.rare = y.rare AND x.doc_id < y.doc_id
 WHERE (len(x.n) = 0 OR len(y.n) = 0 OR len(list_intersect(x.n, y.n)) > 0) AND len(list_intersect(x.w, y.w)) >= CASE WHEN least(len(x.w), len(y.w)) <= 4 THEN 2 ELSE 3 END
-AND (len(list_intersect(x.w, y.w)) >= 4 OR len(list_intersect(x.w, y.w)) >= 0.4 * least(len(x.w), len(y.w)))""".replace(", arg_min(token, (df, token)) AS rare FROM (SELECT doc_id, source, lang, w, n, unnest(w) AS token FROM c) c JOIN t USING (token) GROUP BY ALL", ", rare FROM c JOIN (SELECT doc_id, arg_min(token, (df, token)) AS rare FROM (SELECT doc_id, unnest(w) AS token FROM c) JOIN t USING (token) GROUP BY doc_id) USING (doc_id)"))
+AND (len(list_intersect(x.w, y.w)) >= 4 OR len(list_intersect(x.w, y.w)) >= 0.4 * least(len(x.w), len(y.w)))""")
 def claim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences of a source and language that say the same, blocked by their rarest token."""
+    """Different first sentences of a source and language that say the same, blocked by their rarest token. Equal ones
+    are represented by the smallest doc_id."""
     first = F.get(T.sentences(F.col("text"), 12), F.lit(0))
-    claims = table(spark, sf_dir, "documents").withColumn("s", first).where("s is not null").select("doc_id", "source", "lang", T.tokens(F.col("s")).alias("w"), F.array_distinct(F.regexp_extract_all("s", F.lit("[0-9]+"), F.lit(0))).alias("n"))
+    said = table(spark, sf_dir, "documents").withColumn("s", first).where("s is not null").groupBy("source", "lang", "s").agg(F.min("doc_id").alias("doc_id"))
+    claims = said.select("doc_id", "source", "lang", T.tokens(F.col("s")).alias("w"), F.array_distinct(F.regexp_extract_all("s", F.lit("[0-9]+"), F.lit(0))).alias("n"))
     exploded = claims.select("doc_id", F.explode("w").alias("token"))
     df = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = exploded.join(df, "token").groupBy("doc_id").agg(F.min_by("token", F.struct("df", "token")).alias("rare"))
