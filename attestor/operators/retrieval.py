@@ -141,3 +141,11 @@ def without_near_sentences(extracted: DataFrame, most: int = 6) -> DataFrame:
         return F.when(near | (F.size(kept) >= most), kept).otherwise(F.array_append(kept, row))
 
     return listed.select("item_id", F.posexplode(F.aggregate("rows", start, step)).alias("n", "r")).select("item_id", (F.col("n") + 1).alias("place"), "r.doc_id", "r.sentence")
+
+
+def with_concepts(scored: DataFrame, asked: DataFrame, tagged: DataFrame) -> DataFrame:
+    """2.7 times the term score, and for texts that share concepts with the question 5.5 and 0.8 for each of at most
+    four of them (7 at most). asked: (item_id, concept); tagged: (doc_id, concept)."""
+    shared = asked.join(tagged, "concept").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("concepts"))
+    bonus = F.when(F.col("concepts") > 0, 5.5 + F.least(F.lit(7.0), 0.8 * F.least(F.lit(4), "concepts"))).otherwise(0.0)
+    return scored.join(shared, ["item_id", "doc_id"], "left").fillna(0, ["concepts"]).select("item_id", "doc_id", F.round(2.7 * F.col("score") + bonus, 4).alias("score"), "concepts")
