@@ -17,10 +17,10 @@ def first_known(*labels: Column, default: str = "unknown") -> Column:
 
 
 def scaffold(actors: DataFrame, topics: DataFrame) -> DataFrame:
-    """Every actor with every topic of a small taxonomy, so that absent cells stay rows. The taxonomy becomes one row
-    with an array, which is exploded for each actor."""
-    listed = topics.agg(F.array_sort(F.collect_set("topic")).alias("topics"))
-    return actors.join(F.broadcast(listed)).select(*actors.columns, F.explode("topics").alias("topic"))
+    """Every actor with every topic of a small taxonomy, so that absent cells stay rows. The taxonomy becomes one
+    array, which is exploded for each actor."""
+    listed = topics.agg(F.array_sort(F.collect_set("topic"))).scalar()
+    return actors.withColumn("__topics", listed).select(*actors.columns, F.explode("__topics").alias("topic"))
 
 
 def coverage_cells(claims: DataFrame, actors: DataFrame, topics: DataFrame, actor: str = "actor") -> DataFrame:

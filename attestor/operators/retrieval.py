@@ -41,18 +41,18 @@ def question_terms(questions: DataFrame, stop: DataFrame, most: int = 12) -> Dat
 
 def bm25(index: Index, asked: DataFrame, k1: float = 1.2, b: float = 0.72) -> DataFrame:
     """(item_id, doc_id, score, hits): the sum over shared terms of idf and saturated term frequency."""
-    size = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    texts, mean = index.lengths.agg(F.count(F.lit(1))).scalar(), index.lengths.agg(F.avg("length")).scalar()
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighted = asked.join(index.df, "term").crossJoin(F.broadcast(size))  # size is one row
+    weighted = asked.join(index.df, "term").withColumns({"n": texts, "mean": mean})
     found = weighted.join(index.terms, "term").join(index.lengths, "doc_id")
     return found.groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count(F.lit(1)).alias("hits"))
 
 
 def rarity(index: Index, asked: DataFrame) -> DataFrame:
     """(item_id, doc_id, score): the sum of ln((N + 1) / (df + 1)) + 1 over shared terms."""
-    size = index.lengths.agg(F.count(F.lit(1)).alias("n"))
-    weighted = asked.join(index.df, "term").crossJoin(F.broadcast(size)).withColumn("w", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+    texts = index.lengths.agg(F.count(F.lit(1))).scalar()
+    weighted = asked.join(index.df, "term").withColumn("n", texts).withColumn("w", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
     return weighted.join(index.terms, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 

@@ -57,7 +57,7 @@ def term_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WITH + "SELECT (SELECT count(*) FROM len) AS documents, (SELECT round(mean, 6) FROM size) AS mean_length, (SELECT count(*) FROM df) AS vocabulary")
 def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _parts(spark, sf_dir)[2]
-    return index.lengths.agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("length"), 6).alias("mean_length")).crossJoin(index.df.agg(F.count(F.lit(1)).alias("vocabulary")))
+    return index.lengths.agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("length"), 6).alias("mean_length")).withColumn("vocabulary", index.df.agg(F.count(F.lit(1))).scalar())
 
 
 @query(_WITH + "SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score, hits FROM ranked WHERE rank <= 5")
@@ -167,8 +167,8 @@ def missing_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources, built as an array for each question, not a cross join."""
     docs, questions, index, asked = _parts(spark, sf_dir)
     evidence = R.top(R.bm25(index, asked), 5).join(docs.select("doc_id", "source"), "doc_id").select("item_id", "source")
-    sources = docs.agg(F.array_sort(F.collect_set("source")).alias("sources"))  # one row: a set of sources
-    requested = questions.select("item_id").join(F.broadcast(sources)).select("item_id", F.explode("sources").alias("source"))
+    sources = docs.agg(F.array_sort(F.collect_set("source"))).scalar()  # the catalogue of sources
+    requested = questions.select("item_id", sources.alias("sources")).select("item_id", F.explode("sources").alias("source"))
     return requested.join(evidence, ["item_id", "source"], "left_anti")
 
 

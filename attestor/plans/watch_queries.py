@@ -104,9 +104,9 @@ max(ts) < (SELECT max(ts) FROM events) - INTERVAL 10 HOUR AS stale FROM events e
 
 def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("now"))
+    now = e.agg(F.max("ts")).scalar()
     rows = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_seen"))
-    return rows.join(F.broadcast(now)).select("user_id", "errors", "events", "last_seen", (F.col("errors") / F.col("events") > 0.25).alias("noisy"), (F.col("last_seen") < F.col("now") - F.expr("interval 10 hours")).alias("stale"))
+    return rows.withColumn("now", now).select("user_id", "errors", "events", "last_seen", (F.col("errors") / F.col("events") > 0.25).alias("noisy"), (F.col("last_seen") < F.col("now") - F.expr("interval 10 hours")).alias("stale"))
 
 
 @query(f"SELECT user_id, errors, events, last_seen, CASE WHEN noisy OR stale THEN 'degraded' ELSE 'healthy' END AS state FROM ({_HEALTH})")
@@ -133,9 +133,9 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT user_id FROM ({_ATTEMPTS}) WHERE last_error + to_hours(CAST(coalesce(list_extract([0, 6, 24, 72, 168, 336], CAST(attempts + 1 AS INTEGER)), 336) AS INTEGER)) <= (SELECT max(ts) FROM events)")
 def retry_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
     due = F.col("last_error") + F.make_interval(hours=M.retry_hours(F.col("attempts")))
-    return _attempts(spark, sf_dir).join(F.broadcast(now)).where(due <= F.col("now")).select("user_id")
+    return _attempts(spark, sf_dir).where(due <= now).select("user_id")
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (WHERE attempts >= 6) AS over_budget, max(attempts) AS most_attempts, min(first_error) AS oldest FROM ({_ATTEMPTS})")
@@ -220,7 +220,7 @@ def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, CASE WHEN max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY THEN 'active' ELSE 'stale' END AS state, CASE WHEN max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY THEN 1 ELSE 4 END AS tier FROM events GROUP BY user_id")
 def ttl_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    rows = e.groupBy("user_id").agg(F.max("ts").alias("last")).join(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    rows = e.groupBy("user_id").agg(F.max("ts").alias("last")).withColumn("now", e.agg(F.max("ts")).scalar())
     fresh = F.col("last") >= F.col("now") - F.expr("interval 7 days")
     return rows.select("user_id", F.when(fresh, "active").otherwise("stale").alias("state"), F.when(fresh, 1).otherwise(4).alias("tier"))
 
