@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.operators import terms
+from attestor.session import spread, written
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,8 @@ class Index:
 
 
 def build_index(docs: DataFrame, stop_words: int = 20) -> Index:
-    counts = terms.term_counts(docs, "doc_id", F.col("text"))
+    """Texts are cut into terms once; the counts are written, and all statistics read them from there."""
+    counts = written(terms.term_counts(spread(docs.select("doc_id", "text")), "doc_id", F.col("text")))
     df = terms.document_frequency(counts, "doc_id")
     stop = terms.stop_terms(df, stop_words)
     kept = counts.join(F.broadcast(stop), "term", "left_anti")

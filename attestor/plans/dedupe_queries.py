@@ -12,6 +12,7 @@ from attestor.operators import retrieval as R
 from attestor.operators import terms
 from attestor.plans.registry import Registry, sql_norm, sql_words
 from attestor.plans.retrieval_queries import _WITH, _parts
+from attestor.session import spread, written
 from attestor.sources.tables import table
 
 registry = Registry()
@@ -20,9 +21,9 @@ query = registry.query
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sets of the first document of each (source, lang, normalised text)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     first = D.representatives(docs, "doc_id", ["source", "lang"], F.sha2(T.norm(F.col("text")), 256))
-    return docs.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "lang", T.tokens(F.col("text")).alias("tokens"))
+    return written(docs.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "lang", T.tokens(F.col("text")).alias("tokens")))
 
 
 _SETS = f"""WITH f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, lang, sha256({sql_norm('text')})),

@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -29,6 +30,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder of spark.checkpoint.dir, which all executors share, read back: what several
+    branches of a plan need is computed once, and a lost executor costs nothing. Without the setting (tests on one
+    machine) the folder is /tmp/checkpoints."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path = f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its scan has fewer splits than there are cores (a small table in one row group). A
+    large table has more and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def session(app: str = "attestor", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings. Cluster settings (master, memory, checkpoint folder) come from outside;
     `conf` has further ones, with _ for . in names."""
