@@ -47,18 +47,12 @@ SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.source = y.source AND
 WHERE (len(x.n) = 0 OR len(y.n) = 0 OR len(list_intersect(x.n, y.n)) > 0) AND len(list_intersect(x.w, y.w)) >= CASE WHEN least(len(x.w), len(y.w)) <= 4 THEN 2 ELSE 3 END
 AND (len(list_intersect(x.w, y.w)) >= 4 OR len(list_intersect(x.w, y.w)) >= 0.4 * least(len(x.w), len(y.w)))""")
 def claim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different first sentences of a source and language that say the same, blocked by their rarest token. Equal ones
-    are represented by the smallest doc_id."""
+    """Different first sentences of a source and language that say the same, whichever terms they share. Equal ones are
+    represented by the smallest doc_id."""
     first = F.get(T.sentences(F.col("text"), 12), F.lit(0))
     said = table(spark, sf_dir, "documents").withColumn("s", first).where("s is not null").groupBy("source", "lang", "s").agg(F.min("doc_id").alias("doc_id"))
-    claims = said.select("doc_id", "source", "lang", T.tokens(F.col("s")).alias("w"), F.array_distinct(F.regexp_extract_all("s", F.lit("[0-9]+"), F.lit(0))).alias("n"))
-    exploded = claims.select("doc_id", F.explode("w").alias("token"))
-    df = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = exploded.join(df, "token").groupBy("doc_id").agg(F.min_by("token", F.struct("df", "token")).alias("rare"))
-    keyed = claims.join(rare, "doc_id")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.source") == F.col("y.source")) & (F.col("x.lang") == F.col("y.lang")) & (F.col("x.rare") == F.col("y.rare")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    return pairs.where(D.same_claim(F.col("x.w"), F.col("y.w"), F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    claims = said.select("doc_id", "source", "lang", T.tokens(F.col("s")).alias("tokens"), F.array_distinct(F.regexp_extract_all("s", F.lit("[0-9]+"), F.lit(0))).alias("numbers"))
+    return D.claim_pairs(written(claims), "doc_id", ["source", "lang"])
 
 
 _CONCEPTS = _WITH + ", concept AS (SELECT term FROM df0 WHERE df >= 3 AND length(term) >= 5 ORDER BY df, term LIMIT 50)"
