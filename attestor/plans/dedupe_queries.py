@@ -19,11 +19,10 @@ registry = Registry()
 query = registry.query
 
 
-def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sets of the first document of each (source, lang, normalised text)."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    first = D.representatives(docs, "doc_id", ["source", "lang"], F.sha2(T.norm(F.col("text")), 256))
-    return written(docs.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "lang", T.tokens(F.col("text")).alias("tokens")))
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens and a digest of the token set of each document."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return docs.withColumn("key", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
 
 
 _SETS = f"""WITH f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, lang, sha256({sql_norm('text')})),
@@ -33,8 +32,17 @@ s AS (SELECT doc_id, source, lang, list_distinct({sql_words('text')}) AS w FROM
 @query(_SETS + """, p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w)) AS c, len(x.w) AS n, len(y.w) AS m FROM s x JOIN s y ON x.source = y.source AND x.lang = y.lang AND x.doc_id < y.doc_id)
 SELECT a, b, round(c / (n + m - c), 6) AS similarity FROM p WHERE n + m > 0 AND c / (n + m - c) >= 0.68""")
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different texts of a source and language with a token similarity of at least 0.68."""
-    return D.pairs_by_rare_token(_sets(spark, sf_dir), "doc_id", ["source", "lang"], 0.68)
+    """Pairs of different token sets of the whole corpus with a similarity of at least 0.68; the first document of a set
+    stands for all of them (neardup_members)."""
+    keyed = _keyed(spark, sf_dir)
+    first = D.representatives(keyed, "doc_id", [], F.col("key"))
+    return D.pairs_by_rare_token(written(keyed.join(first, "doc_id", "left_semi").select("doc_id", "tokens")), "doc_id", [], 0.68)
+
+
+@query()
+def neardup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the first one of its token set, which stands for it in neardup_pairs."""
+    return D.members(written(_keyed(spark, sf_dir).select("doc_id", "key")), "doc_id", "key")
 
 
 _FIRST = "list_extract(list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 12), 1)"

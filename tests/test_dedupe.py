@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 from attestor.operators import dedupe as D
+from attestor.plans import dedupe_queries as Q
 
 
 def says_the_same(x, y):
@@ -27,3 +28,11 @@ def test_holders_of_a_frequent_token_are_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame([(k, list(w)) for k, w in sets.items()], "doc_id long, tokens array<string>")
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
     assert {(r.a, r.b): r.similarity for r in D.pairs_by_rare_token(df, "doc_id", [], 0.6).collect()} == want
+
+
+def test_near_copies_are_found_across_sources_and_languages(spark, tmp_path):
+    words = [f"word{k}" for k in range(20)]
+    texts = [("a", "en", " ".join(words)), ("b", "en", " ".join(words[:-1])), ("c", "fr", " ".join(words[1:])), ("b", "de", " ".join(reversed(words))), ("a", "en", "another text")]
+    spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id long, source string, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.a, r.b) for r in Q.neardup_pairs(spark, str(tmp_path)).collect()) == [(0, 1), (0, 2), (1, 2)]
+    assert {r.doc_id: r.representative for r in Q.neardup_members(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4}
