@@ -5,9 +5,12 @@
 2. With w_i the share of all tokens that document i holds and p_i its posterior, a nonnegative rate r_i for each
    document is fitted by least squares: the expected token shares s = sum w_i r_i p_i shall meet the targets t,
        minimise  1/2 sum_d (s_d - t_d)^2 / t_d  +  RIDGE/2 sum_i w_i (r_i - 1)^2,   r >= 0.
-   Projected gradient: r <- max(0, r - eta (p_i . (s - t) / t + RIDGE (r - 1))). The rate after k steps depends only on
-   p_i and on the k residuals (s - t) / t, so each step is one Spark aggregation over the distinct posteriors with their
-   tokens; nothing but a vector of one number per domain reaches the driver, and no state has to be kept.
+   With the residuals c = (s - t) / t at the optimum, r_i = max(0, 1 - p_i . c / RIDGE), so one number per domain
+   gives all rates. c is the minimum of the convex function
+       RIDGE/2 sum_i w_i r_i(c)^2 + sum_d t_d (c_d + c_d^2 / 2),
+   found by Newton steps, halved until they descend. Each step is one Spark aggregation over the distinct posteriors
+   with their tokens; nothing but a vector and a matrix over the domains reaches the driver, and no state is kept. The
+   steps end when every share meets its optimum within TOLERANCE of its target; if they can't get there, it is an error.
 3. `mixed` repeats each document floor(rate + u) times, u in [0, 1) from a hash of its id: expected totals follow the
    rates, and the same input gives the same result.
 
@@ -31,7 +34,7 @@ from attestor.llm.common import map_arrow, materialize, shared_dir
 from attestor.llm.labelled import labelled_sample
 
 BUCKETS, STEPS, TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 2048, 64, 3000, 20_000, 60
-RIDGE, MOST_STEPS, TOLERANCE = 1e-3, 60, 1e-5
+RIDGE, TOLERANCE = 1e-3, 1e-7
 
 
 def features(text: str | None) -> np.ndarray:
@@ -103,37 +106,49 @@ def with_posteriors(docs: DataFrame, classifier: DomainClassifier, tokens_col: s
     return map_arrow(kept, run, schema)
 
 
-def rate(posterior: Column, residuals: list[np.ndarray], eta: float) -> Column:
-    """The rate after one step for each residual."""
-    history = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in residuals]) if residuals else F.array().cast("array<array<double>>")
+def rate(posterior: Column, residuals: np.ndarray) -> Column:
+    """The rate of a posterior for one residual per domain."""
+    pull = F.aggregate(F.zip_with(posterior, F.array(*[F.lit(float(c)) for c in residuals]), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return F.greatest(F.lit(0.0), 1 - pull / F.lit(RIDGE))
 
-    def step(r: Column, c: Column) -> Column:
-        pull = F.aggregate(F.zip_with(posterior, c, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-        return F.greatest(F.lit(0.0), r - F.lit(eta) * (pull + F.lit(RIDGE) * (r - 1)))
 
-    return F.aggregate(history, F.lit(1.0), step)
-
-
-def fit_rates(cells: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], float]:
-    """The residuals of each projected-gradient step and the step size. cells: posterior, tokens."""
+def fit_rates(cells: DataFrame, targets: np.ndarray) -> np.ndarray:
+    """The residual of each domain at the optimum; zeros without tokens. cells: posterior, tokens."""
     width = len(targets)
     p = [F.col("posterior")[d] for d in range(width)]
     total = cells.agg(F.sum("tokens").alias("t")).first().t
     if not total:
-        return [], 0.0
+        return np.zeros(width)
     share = F.col("tokens") / F.lit(float(total))
-    second = cells.agg(*[F.sum(share * p[a] * p[b]).alias(f"m{a}_{b}") for a in range(width) for b in range(width)]).first()
-    scaled = np.array(list(second)).reshape(width, width) / np.sqrt(np.outer(targets, targets))
-    eta = 1 / (float(np.linalg.eigvalsh(scaled).max()) + RIDGE)
-    residuals: list[np.ndarray] = []
-    for _ in range(MOST_STEPS):
-        r = rate(F.col("posterior"), residuals, eta)
-        sums = cells.withColumn("mass", share * r).agg(*[F.sum(F.col("mass") * p[d]) for d in range(width)]).first()
-        residual = (np.array(list(sums)) - targets) / targets
-        if residuals and np.abs(residual - residuals[-1]).max() < TOLERANCE:
-            break
-        residuals.append(residual)
-    return residuals, eta
+
+    def measured(c: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The function at c, its gradient and its second derivatives."""
+        rows = cells.withColumn("r", rate(F.col("posterior"), c)).withColumn("w", share)
+        found = rows.agg(
+            F.sum(F.col("w") * F.col("r") * F.col("r")),
+            *[F.sum(F.col("w") * F.col("r") * p[d]) for d in range(width)],
+            *[F.sum(F.when(F.col("r") > 0, F.col("w") * p[a] * p[b]).otherwise(0.0)) for a in range(width) for b in range(width)],
+        ).first()
+        numbers = np.array(list(found))
+        value = RIDGE / 2 * numbers[0] + float((targets * (c + c * c / 2)).sum())
+        return value, targets * (1 + c) - numbers[1 : width + 1], numbers[width + 1 :].reshape(width, width) / RIDGE + np.diag(targets)
+
+    c = np.zeros(width)
+    value, gradient, second = measured(c)
+    while (np.abs(gradient) / targets).max() > TOLERANCE:
+        way, size = np.linalg.solve(second, -gradient), 1.0
+        slope = float(gradient @ way)
+        while True:
+            new = measured(c + size * way)
+            # near the optimum the function's change is lost in rounding, but the gradient still shrinks
+            if new[0] <= value + 1e-4 * size * slope or np.abs(new[1]).max() < 0.5 * np.abs(gradient).max():
+                break
+            size /= 2
+            if size < 1e-9:
+                raise ArithmeticError(f"mixing: the rates don't converge; gradient {gradient.tolist()} at residuals {c.tolist()}")
+        c = c + size * way
+        value, gradient, second = new
+    return c
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
@@ -145,11 +160,11 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep:
     rows = with_posteriors(docs.select(*(keep or ["doc_id"]), *([] if keep and "text" in keep else ["text"])), classifier, "__tokens", "__posterior")
     narrow = materialize(rows.select(*[c for c in rows.columns if c != "text" or "text" in (keep or [])]), folder, "posteriors")
     cells = materialize(narrow.groupBy(F.col("__posterior").alias("posterior")).agg(F.sum("__tokens").alias("tokens")), folder, "cells")
-    residuals, eta = fit_rates(cells, weights / weights.sum())
+    residuals = fit_rates(cells, weights / weights.sum())
     # 53 bits of a hash of the id, as a number in [0, 1)
     u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("copies")), 11) / F.lit(float(1 << 53))
     return (
-        narrow.withColumn("__rate", rate(F.col("__posterior"), residuals, eta))
+        narrow.withColumn("__rate", rate(F.col("__posterior"), residuals))
         .withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
         .withColumnsRenamed({"__tokens": "n_tokens", "__posterior": "posterior", "__rate": "rate", "__copies": "copies"})
     )
