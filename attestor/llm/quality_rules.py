@@ -89,11 +89,15 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def window_entropy(ids: np.ndarray) -> float:
-    """Mean entropy of windows of WINDOW tokens (a shorter text is one window) over the largest one possible."""
+    """Mean entropy of windows of WINDOW tokens (a shorter text is one window) over the largest one possible. Where the
+    windows don't end with the text, one more does, so that every token counts."""
     width = min(WINDOW, len(ids))
     if width < 2:
         return 1.0
-    rows = np.sort(ids[: len(ids) // width * width].reshape(-1, width), axis=1)
+    rows = ids[: len(ids) // width * width].reshape(-1, width)
+    if len(ids) % width:
+        rows = np.vstack([rows, ids[-width:]])
+    rows = np.sort(rows, axis=1)
     starts = np.ones(rows.shape, bool)
     starts[:, 1:] = rows[:, 1:] != rows[:, :-1]
     first = np.flatnonzero(starts.ravel())
