@@ -34,11 +34,9 @@ def build_index(docs: DataFrame, stop_words: int = 20) -> Index:
     return Index(kept, df.join(F.broadcast(stop), "term", "left_anti"), kept.groupBy("doc_id").agg(F.sum("tf").alias("length")), stop)
 
 
-def question_terms(questions: DataFrame, stop: DataFrame, most: int = 12) -> DataFrame:
-    """(item_id, term): the first `most` distinct tokens of each question that aren't stop words."""
-    rows = questions.select("item_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term")).join(F.broadcast(stop), "term", "left_anti")
-    first = Window.partitionBy("item_id").orderBy("pos")
-    return rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("item_id", "term")
+def question_terms(questions: DataFrame, stop: DataFrame) -> DataFrame:
+    """(item_id, term): all distinct tokens of each question that aren't stop words."""
+    return questions.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).join(F.broadcast(stop), "term", "left_anti").select("item_id", "term")
 
 
 def bm25(index: Index, asked: DataFrame, k1: float = 1.2, b: float = 0.72) -> DataFrame:

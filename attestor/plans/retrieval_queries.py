@@ -1,4 +1,4 @@
-"""Retrieval over documents, with the benchmark passages as questions (their first twelve terms)."""
+"""Retrieval over documents, with the benchmark passages as questions (all their terms but stop words)."""
 
 from __future__ import annotations
 
