@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.session import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b with four decimals; 0 where b is 0."""
@@ -85,13 +87,26 @@ def supersession(rows: DataFrame, keys: list[str], id_col: str, at: str) -> Data
     return rows.select(*keys, id_col, at, F.lead(id_col).over(order).alias("superseded_by"))
 
 
-def closure(links: DataFrame, start: str, to: str, most: int = 10) -> DataFrame:
-    """Chain length from each row along its links, up to `most` steps (a bounded loop of equi-joins)."""
-    steps = links.select(F.col(start).alias("node"), F.col(to).alias("at"), F.when(F.col(to).isNotNull(), 1).otherwise(0).alias("length"))
-    edges = links.select(F.col(start).alias("at"), F.col(to).alias("next")).where(F.col(to).isNotNull())
-    for _ in range(most - 1):
-        steps = steps.join(edges, "at", "left").select("node", F.col("next").alias("at"), F.when(F.col("next").isNotNull(), F.col("length") + 1).otherwise(F.col("length")).alias("length"))
-    return steps.select("node", "length")
+def chains(links: DataFrame, start: str, to: str) -> DataFrame:
+    """(node, length, cycle): the length of the chain from each row along its links to its end, whatever it is; null,
+    with cycle true, where the links never end. Pointer doubling: each round joins the steps with themselves and is
+    written, so a chain of n links takes about log2(n) rounds. When a round ends no chain, what is left runs in cycles:
+    of a chain that ends, some later row would have ended in it."""
+    steps = written(links.select(F.col(start).alias("node"), F.col(to).alias("at"), F.when(F.col(to).isNotNull(), 1).otherwise(0).alias("length")))
+    before, left = -1, steps.where("at is not null").count()
+    while left and left != before:
+        further = steps.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("length").alias("more"))
+        moved = steps.where("at is not null").join(further, "at", "left").select("node", F.col("next").alias("at"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"))
+        steps = written(steps.where("at is null").unionByName(moved))
+        before, left = left, steps.where("at is not null").count()
+    return steps.select("node", F.when(F.col("at").isNull(), F.col("length")).alias("length"), F.col("at").isNotNull().alias("cycle"))
+
+
+def closure(links: DataFrame, start: str, to: str, most: int | None = None) -> DataFrame:
+    """Chain length from each row along its links, null where they run into a cycle (see chains). Lengths are whole
+    unless the caller gives a largest one."""
+    length = F.col("length") if most is None else F.when(F.col("length").isNotNull(), F.least("length", F.lit(most)))
+    return chains(links, start, to).select("node", length.alias("length"))
 
 
 def provenance_merge(claims: DataFrame, new: DataFrame) -> DataFrame:

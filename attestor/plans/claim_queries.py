@@ -201,7 +201,7 @@ def supersession_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS node, least(10, count(*) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) - 1)::INTEGER AS length FROM orders")
 def supersession_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = C.supersession(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", "o_orderdate")
-    return C.closure(links, "o_orderkey", "superseded_by", 10)
+    return C.closure(links, "o_orderkey", "superseded_by")
 
 
 @query("SELECT o_custkey, o_orderstatus AS status, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NULL OR b <> o_orderstatus")
