@@ -13,7 +13,7 @@ rule wins over the score.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and has no tokens, so the
 classes' shares decide; repeated urls get the same verdict; ties between rules of equal length go to the earlier one;
-an empty table gives an empty result; very long names are split in pieces of MOST_LETTERS for the search.
+an empty table gives an empty result; names of any length are searched whole, in time in proportion to it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import map_arrow, record_batch
 
-BUCKETS, RANK_SHIFT, MOST_LETTERS, CACHE_ENTRIES = 1 << 16, 20, 128, 200_000
+BUCKETS, RANK_SHIFT, CACHE_ENTRIES = 1 << 16, 20, 200_000
 #: Log probability of an unknown stretch: for each stretch and for each of its letters.
 UNKNOWN = -12.0, -2.5
 #: Pseudo-count of a seed word in class block, and of any bucket in either class.
@@ -59,7 +59,7 @@ class Segmenter:
         if name not in self.known:
             if len(self.known) >= CACHE_ENTRIES:
                 self.known.clear()
-            self.known[name] = tuple(w for k in range(0, len(name), MOST_LETTERS) for w in self._best(name[k : k + MOST_LETTERS]))
+            self.known[name] = tuple(self._best(name))
         return self.known[name]
 
     def _best(self, name: str) -> list[str]:
