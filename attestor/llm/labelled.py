@@ -10,14 +10,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """doc_id, text and label (0 to classes - 1) of at most `rows` labelled documents, those with the smallest hash of doc_id, among the
     label rows for which `usable` (a condition on doc_id) holds. most_bytes leaves out longer texts, which bounds what
     a driver collects; it concerns the fitting only. The chosen labels are at most `rows` small rows, so they are
-    broadcast and the documents aren't shuffled."""
+    broadcast and the documents aren't shuffled. Rows of one doc_id, of labels or of documents, count once: the least of
+    them is taken, so at most `rows` rows reach the driver."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(usable & F.col("label").between(0, classes - 1))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if most_bytes is not None:
         texts = texts.where(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return found.select("doc_id", "text", "label")
