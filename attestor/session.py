@@ -30,12 +30,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share. Without the setting a folder under
+    /tmp/checkpoints is taken, but only where all executors are in this process: on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/attestor-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, which all executors share, read back: what several
-    branches of a plan need is computed once, and a lost executor costs nothing. Without the setting (tests on one
-    machine) the folder is /tmp/checkpoints."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    """df as a Parquet table in a shared folder, read back: what several branches of a plan need is computed once, and a
+    lost executor costs nothing."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
