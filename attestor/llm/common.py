@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.session import ship_package
+from attestor.session import shared_folder, ship_package
 
 #: Rows in one Arrow batch sent to a Python worker; long texts make larger batches costly in memory.
 BATCH_ROWS = 1000
@@ -32,10 +31,8 @@ def record_batch(**columns: pa.Array) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where the setting is absent (tests on one
-    machine) a folder under /tmp/checkpoints is taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors share (see attestor.session.shared_folder)."""
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -52,6 +49,14 @@ def drop_dir(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's decimal text, modulo `modulus`: the folds of the labelled rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
