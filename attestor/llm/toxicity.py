@@ -1,7 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-1. A lexicon is learned from a bounded sample of labelled rows: Spark counts, for each word and each word beginning,
-   the toxic and the other documents that hold it, and keeps the LEXICON terms with the largest log odds.
+1. Two lexicons: INSULTS, a fixed list of common insults of four languages, and one that is learned from a bounded
+   sample of labelled rows. For the latter Spark counts, for each word and each word beginning, the toxic and the other
+   documents that hold it, and the LEXICON terms with the largest log odds are kept. A row's own label must not shape
+   its features, so the sample is dealt into FOLDS parts, and the features of a part's rows come from a lexicon that is
+   learned from the other parts; what is scored later meets the lexicon of the whole sample.
 2. Every whole text becomes a row of dense features: densities of lexicon terms, their nearness to second-person words,
    shares of capitals, punctuation, digits and symbols, and the rate of obfuscated words (letters mixed with digits or
    symbols, and words that match the lexicon only once such signs are read as letters).
@@ -11,8 +14,9 @@
 Fitting reads at most SAMPLE_ROWS labelled documents; scoring is spread by Spark and reads whole texts.
 
 Defined results: null and empty texts are scored like any other (all features are 0); without labelled rows of both
-classes every score is the share of label 1 (0 without any); repeated rows get the same score; input columns other
-than those named are not read.
+classes every score is the share of label 1 (0 without any); repeated rows get the same score; texts of any length are
+read whole; a null id is in no fold; an empty table gives an empty result; other input columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,19 +29,32 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.common import crc32_mod, map_arrow, record_batch
 from attestor.llm.labelled import labelled_sample
 
-SAMPLE_ROWS, LEXICON, LEAST_DOCS, LEAST_ODDS = 16000, 600, 5, 2.2
+SAMPLE_ROWS, LEXICON, LEAST_DOCS, LEAST_ODDS, FOLDS = 16000, 600, 3, 2.2, 3
 #: Lengths of word beginnings; whole words count as terms of their own.
 BEGINNINGS = range(3, 11)
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes".split()
+#: Common insults of the four languages, as whole words (fixed values).
+INSULTS = """
+arsehole asshole bastard bitch clown coward creep crap cretin cunt dickhead dimwit disgusting douchebag dumb dumbass fool
+freak fucking garbage hateful idiot idiotic idiots imbecile jackass jerk kys loser losers lunatic maggot moron moronic
+morons nazi parasite pathetic pig prick psycho rat retard retarded rubbish scum scumbag shit shithead slut stupid subhuman
+swine trash twat useless vermin vile wanker weirdo whore worthless
+abruti andouille batard bâtard bouffon connard connasse crétin débile déchet enculé enfoiré idiote imbécile lamentable
+merde minable nul ordure pathétique pourriture pute raclure salaud salope stupide vaurien
+abschaum arschloch blödmann depp dummkopf dreckskerl hurensohn idiotin erbärmlich lächerlich missgeburt mistkerl müll
+nutzlos penner schlampe schwachkopf schwein trottel vollidiot widerlich wertlos
+basura bobo cabrón cerdo cobarde desgraciado escoria estúpida estúpido gilipollas imbécil inútil mierda payaso patético puta
+puto subnormal tonto zorra
+""".split()
 #: Characters between a second-person word and a lexicon term that count as near.
 NEAR = 60
-FEATURES = ("word_hits", "begin_hits", "word_density", "begin_density", "log_odds", "distinct_terms", "second_person", "proximity", "hidden_hits", "obfuscated", "capitals", "punctuation", "exclamations", "digits", "symbols", "log_words")
+FEATURES = ("insult_hits", "insult_density", "word_hits", "begin_hits", "word_density", "begin_density", "log_odds", "distinct_terms", "second_person", "proximity", "hidden_hits", "obfuscated", "capitals", "punctuation", "exclamations", "digits", "symbols", "log_words")
 
 #: Signs that stand for letters in obfuscated words (fixed values).
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -61,27 +78,40 @@ def terms(text: str) -> set[str]:
     return out
 
 
-def learned_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Term -> log odds of toxic against other documents, of at most LEXICON terms."""
+def learned_lexicons(sample: DataFrame) -> list[dict[str, float]]:
+    """Lexicons (term -> log odds of toxic against other documents, at most LEXICON terms): of the whole sample, then of
+    the sample without each part. sample: text, label, part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[label].update(terms(text))
-        both = [(t, counts[1][t], counts[0][t]) for t in counts[1]] + [(t, 0, n) for t, n in counts[0].items() if t not in counts[1]]
-        if both:
-            term, toxic, other = zip(*both, strict=True)
-            yield record_batch(term=pa.array([t.encode("latin-1") for t in term], pa.binary()), toxic=pa.array(toxic, pa.int64()), other=pa.array(other, pa.int64()))
-
-    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return {}
-    counted = map_arrow(sample.select("text", "label"), run, "term binary, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
-    best = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = best.orderBy(F.desc(F.col("odds") * F.sqrt(F.col("toxic").cast("double"))), "term").limit(LEXICON).collect()
-    return {bytes(r.term).decode("latin-1"): float(r.odds) for r in rows}
+            for text, label, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for term in terms(text):
+                    counts.setdefault(term, [0] * (2 * FOLDS))[2 * part + label] += 1
+        if counts:
+            yield record_batch(term=pa.array([t.encode("latin-1") for t in counts], pa.binary()), **{f"n{k}": pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(2 * FOLDS)})
+
+    sizes = [[0, 0] for _ in range(FOLDS)]
+    for r in sample.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.part][r.label] = r.n
+    names = [f"n{k}" for k in range(2 * FOLDS)]
+    counted = map_arrow(sample.select("text", "label", "part"), run, "term binary, " + ", ".join(f"{n} long" for n in names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+    variants = []
+    for without in (None, *range(FOLDS)):
+        parts = [k for k in range(FOLDS) if k != without]
+        toxic, other = (sum((F.col(f"n{2 * k + label}") for k in parts), F.lit(0)) for label in (1, 0))
+        most = [sum(sizes[k][label] for k in parts) for label in (1, 0)]
+        odds = F.log((toxic + 0.5) / (most[0] + 1)) - F.log((other + 0.5) / (most[1] + 1))
+        if min(most):
+            variants.append(F.struct(F.lit(0 if without is None else without + 1).alias("lexicon"), toxic.cast("double").alias("toxic"), odds.alias("odds")))
+    out: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    if not variants:
+        return out
+    best = counted.select("term", F.explode(F.array(*variants)).alias("v")).select("term", "v.*").where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
+    order = Window.partitionBy("lexicon").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term")
+    for r in best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEXICON).collect():
+        out[r.lexicon][bytes(r.term).decode("latin-1")] = float(r.odds)
+    return out
 
 
 class Extractor:
@@ -91,12 +121,11 @@ class Extractor:
         self.lexicon, self.automaton = lexicon, None
 
     def _built(self) -> ahocorasick.Automaton:
-        """Finds terms and, under None, second-person words."""
+        """Finds what a term is: a second-person word, an insult, its odds in the lexicon (a term may be all three)."""
         automaton = ahocorasick.Automaton()
-        for word in SECOND_PERSON:
-            automaton.add_word(plain(word), (plain(word), None))
-        for term, odds in self.lexicon.items():
-            automaton.add_word(term, (term, odds))
+        persons, insults = set(map(plain, SECOND_PERSON)), set(map(plain, INSULTS))
+        for term in persons | insults | self.lexicon.keys():
+            automaton.add_word(term, (term, term in persons, term in insults, self.lexicon.get(term)))
         automaton.make_automaton()
         return automaton
 
@@ -108,27 +137,33 @@ class Extractor:
         flat, raw = plain(text), text.encode("utf-8", "replace")
         size = len(raw)
         words = max(1, len(flat.split()))
-        hits = {True: 0, False: 0}
+        hits, insults = {True: 0, False: 0}, 0
         persons, places, found, total = [], [], set(), 0.0
-        for end, (term, odds) in self.automaton.iter(flat):
-            if odds is None:
+        for end, (term, person, insult, odds) in self.automaton.iter(flat):
+            if person:
                 persons.append(end)
-            else:
+            if insult:
+                insults += 1
+            if odds is not None:
                 hits[term[-1] == " "] += 1
+                total += odds
+            if insult or odds is not None:
                 places.append(end)
                 found.add(term)
-                total += odds
         near = 0.0
         if persons and places:
             p, q = np.array(persons), np.array(places)
             at = np.searchsorted(p, q)
             gap = np.minimum(np.abs(p[np.minimum(at, len(p) - 1)] - q), np.abs(q - p[np.maximum(at - 1, 0)]))
             near = float((gap <= NEAR).mean())
-        obfuscated = len(_OBFUSCATED.findall(text))
-        hidden = sum(odds is not None for _, (_, odds) in self.automaton.iter(plain(text, _READ_SIGNS))) - len(places) if obfuscated else 0
+        obfuscated, hidden = len(_OBFUSCATED.findall(text)), 0
+        if obfuscated:
+            part = " ".join(w.strip("!") for w in text.split() if _OBFUSCATED.search(w))
+            count = lambda flat: sum(insult or odds is not None for _, (_, _, insult, odds) in self.automaton.iter(flat))
+            hidden = count(plain(part, _READ_SIGNS)) - count(plain(part))
         without = lambda signs: size - len(raw.translate(None, signs))
         return [
-            math.log1p(hits[True]), math.log1p(hits[False]), hits[True] / words, hits[False] / words, total / words, math.log1p(len(found)),
+            math.log1p(insults), insults / words, math.log1p(hits[True]), math.log1p(hits[False]), hits[True] / words, hits[False] / words, total / words, math.log1p(len(found)),
             len(persons) / words, near, math.log1p(max(0, hidden)), obfuscated / words,
             without(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, without(_ASCII_SIGNS) / size, without(b"!") / size, without(b"0123456789") / size, without(b"#*$%&|<>") / size, math.log1p(words),
         ]
@@ -240,16 +275,16 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     """A model fitted on a sample of the labelled documents outside the held-out fold; only features of fixed size and
     the lexicon reach the driver."""
-    sample = labelled_sample(docs, labels, "toxic", crc32_mod("doc_id", folds) != held_out, SAMPLE_ROWS)
-    model = Model(learned_lexicon(sample))
-    extractor = model.extractor
+    sample = labelled_sample(docs, labels, "toxic", crc32_mod("doc_id", folds) != held_out, SAMPLE_ROWS).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(FOLDS)).cast("int"))
+    lexicons = learned_lexicons(sample)
+    model, extractors = Model(lexicons[0]), [Extractor(x) for x in lexicons[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = extractor.rows(batch.column(1).to_pylist())
-            yield record_batch(doc_id=batch.column(0), x=pa.array(list(x), pa.list_(pa.float64())), label=batch.column(2))
+            x = [extractors[part].row(text) for text, part in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield record_batch(doc_id=batch.column(0), x=pa.array(x, pa.list_(pa.float64())), label=batch.column(2))
 
-    rows = map_arrow(sample, run, "doc_id long, x array<double>, label int").orderBy("doc_id", "label", "x").collect()
+    rows = map_arrow(sample, run, "doc_id long, x array<double>, label int").orderBy("doc_id").collect()
     return model.fit(np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.label for r in rows], float))
 
 
