@@ -4,16 +4,22 @@ Concatenated names are split into words by a unigram Viterbi search; the words a
 of a public word-end vocabulary file (rank r stands for a probability in proportion to 1 / (r + RANK_SHIFT)). Path
 tokens have their digits replaced by 0. Tokens are hashed into BUCKETS buckets, so that the model has a fixed size.
 
-There are no labelled urls: a host is a weak example of class block if one of its words is a seed word, and of class
-allow otherwise. Spark counts tokens over all distinct pairs of host and path shape, so a host that holds a third of
-all pages doesn't outweigh the others. Buckets seen once are not used.
+There are no labelled urls, so the model is learned from weak examples by expectation maximisation. The examples are
+all distinct pairs of host and path shape (a path with its digits replaced), so a host that holds a third of all pages
+doesn't outweigh the others. At first an example is of class block with weight SEEDED if a word of its host is a seed
+word, and of class allow otherwise. In each of ROUNDS rounds Spark counts the tokens of all examples by class, and the
+examples without a seed word get the class probabilities that these counts give them, so that words which go with seeds
+(free, cheap, a path that only such hosts have) become evidence themselves. A seed word counts through its bucket like
+any other word: a host with one whose other words and paths are those of allowed hosts is allowed, and a host without
+one whose words are those of blocked hosts is blocked. Buckets seen once are not used.
 
 A rule (host, path, verdict) fits its host and all its subdomains if the url's path starts with the rule's; the longest
 rule wins over the score.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and has no tokens, so the
 classes' shares decide; repeated urls get the same verdict; ties between rules of equal length go to the earlier one;
-an empty table gives an empty result; names of any length are searched whole, in time in proportion to it.
+an empty table gives an empty result; names of any length are searched whole, in time in proportion to it; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import map_arrow, record_batch
+from attestor.llm.common import drop_dir, map_arrow, materialize, record_batch, shared_dir
 
 BUCKETS, RANK_SHIFT, CACHE_ENTRIES = 1 << 16, 20, 200_000
 #: Log probability of an unknown stretch: for each stretch and for each of its letters.
 UNKNOWN = -12.0, -2.5
 #: Pseudo-count of a seed word in class block, and of any bucket in either class.
 SEED_WEIGHT, SMOOTHING = 3.0, 0.5
+#: Probability of class block of a seeded example, rounds of expectation maximisation, and the least difference of log
+#: odds between classes at which a round takes an example for block at all (half and half isn't evidence).
+SEEDED, ROUNDS, SURE = 0.9, 4, 2.0
 SEEDS = "casino poker jackpot roulette slots bet bets betting gambling lottery adult porn porno xxx sex nude escort ads adserver advert banner popup tracker doubleclick affiliate viagra cialis pills payday warez crack torrent malware phishing spam".split()
 
 _SEGMENTERS: dict[str, "Segmenter"] = {}
@@ -119,11 +128,11 @@ def bucket(token: str) -> int:
 class Bayes:
     """Weights of buckets: log odds of block against allow, 0 where a bucket isn't used."""
 
-    def __init__(self, rows: list[tuple[int, int, int]], blocked: int, allowed: int):
+    def __init__(self, rows: list[tuple[int, float, float]], blocked: float, allowed: float):
         counts = np.zeros((BUCKETS, 2))
         for b, block, allow in rows:
             counts[b] = block, allow
-        used, seeds = counts.sum(axis=1) >= 2, [bucket(f"h {seed}") for seed in SEEDS]
+        used, seeds = counts.sum(axis=1) >= 2 - 1e-9, [bucket(f"h {seed}") for seed in SEEDS]
         used[seeds] = True
         mass = counts[used].sum(axis=0) + SMOOTHING * used.sum()  # without the pseudo-counts of the many seeds
         counts[seeds, 0] += SEED_WEIGHT
@@ -131,27 +140,52 @@ class Bayes:
         self.prior = math.log((blocked + 1) / (allowed + 1))
 
     def score(self, own: list[str]) -> float:
-        return self.prior + float(sum(self.weights[bucket(t)] for t in own))
+        return self.of_buckets([bucket(t) for t in own])
+
+    def of_buckets(self, own: list[int]) -> float:
+        return self.prior + float(sum(self.weights[b] for b in own))
+
+
+def belief(model: Bayes | None, own: list[int], seeded: bool) -> float:
+    """The probability of class block with which an example is counted."""
+    if seeded:
+        return SEEDED
+    score = model.of_buckets(own) if model else 0.0
+    return 0.0 if score < SURE else 1 / (1 + math.exp(-min(score, 30.0)))
 
 
 def fit(parts: DataFrame, vocabulary: str) -> Bayes:
-    """Counts over the distinct (host, path shape) of all urls; at most BUCKETS rows reach the driver."""
+    """A model of all urls. At most BUCKETS rows of counts reach the driver in each round."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = segmenter(vocabulary)
         for batch in batches:
-            counts: dict[int, list[int]] = {-1: [0, 0]}
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, seeded = tokens(host, path, split)
-                counts[-1][not seeded] += 1
-                for t in own:
-                    counts.setdefault(bucket(t), [0, 0])[not seeded] += 1
-            yield record_batch(bucket=pa.array(list(counts), pa.int32()), block=pa.array([c[0] for c in counts.values()], pa.int64()), allow=pa.array([c[1] for c in counts.values()], pa.int64()))
+            found = [tokens(host, path, split) for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield record_batch(buckets=pa.array([[bucket(t) for t in own] for own, _ in found], pa.list_(pa.int32())), seeded=pa.array([s for _, s in found], pa.bool_()))
 
     shapes = parts.where("host <> ''").select("host", F.regexp_replace("path", "[0-9]+", "0").alias("path")).distinct()
-    rows = map_arrow(shapes, run, "bucket int, block long, allow long").groupBy("bucket").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).collect()
-    classes = next(((r.block, r.allow) for r in rows if r.bucket < 0), (0, 0))
-    return Bayes([tuple(r) for r in rows if r.bucket >= 0], *classes)
+    folder = shared_dir(parts.sparkSession)
+    examples = materialize(map_arrow(shapes, read, "buckets array<int>, seeded boolean"), folder, "examples")
+    model = None
+    for _ in range(ROUNDS):
+
+        def count(batches: Iterator[pa.RecordBatch], model: Bayes | None = model) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts: dict[int, list[float]] = {-1: [0.0, 0.0]}
+                for own, seeded in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    block = belief(model, own, seeded)
+                    for b in (-1, *own):
+                        cell = counts.setdefault(b, [0.0, 0.0])
+                        cell[0] += block
+                        cell[1] += 1 - block
+                yield record_batch(bucket=pa.array(list(counts), pa.int32()), block=pa.array([c[0] for c in counts.values()], pa.float64()), allow=pa.array([c[1] for c in counts.values()], pa.float64()))
+
+        rows = map_arrow(examples, count, "bucket int, block double, allow double").groupBy("bucket").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).collect()
+        classes = next(((r.block, r.allow) for r in rows if r.bucket < 0), (0.0, 0.0))
+        # sums of doubles in any order: rounded, so that the order doesn't show
+        model = Bayes([(r.bucket, round(r.block, 6), round(r.allow, 6)) for r in rows if r.bucket >= 0], *(round(c, 6) for c in classes))
+    drop_dir(parts.sparkSession, folder)
+    return model
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], vocabulary: str, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
