@@ -7,12 +7,15 @@ k of each query in the block, and a second selection merges the blocks. Scores a
 exact and ties go to the smaller id.
 
 Queries are those rows whose id is divisible by `every`. Every block of candidates meets every block of queries once: a
-stated query set against all rows, in blocks of a fixed number of rows. No block grows with the data.
+stated query set against all rows. Candidates are dealt to tasks by row, whatever their ids, so that every task holds
+about the same number, at most TASK_VALUES components in all; each task gets one copy of the queries, which stream past
+in blocks of a fixed number of rows. No block and no task grows with the data.
 
 Defined results: a vector takes no part if it is null or holds a null, NaN or infinity; an empty vector takes part and
-scores 0; vectors of unequal length share the terms that both have; rows with a null id take no part; a query never
-meets its own id; if an id is repeated, its rows count as one query whose own rows are left out, and as
-several candidates; sums beyond 64 bits stop at the largest long. Other columns are ignored.
+scores 0; vectors of unequal length, of any length, share the terms that both have; rows with a null id take no part; a query never
+meets its own id; each row of a repeated id is a candidate, and its k best over all these rows as a query are kept, its
+own rows left out; sums beyond 64 bits stop at the largest long; an empty table gives an empty result; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import map_arrow, record_batch
 
-#: Rows in a block of queries, in a block of candidates, and candidates that one task holds while queries stream past.
-QUERY_BLOCK, CANDIDATE_BLOCK, GROUP = 512, 2048, 8192
-_INT64 = np.iinfo(np.int64)
+#: Rows in a block of queries and in a block of candidates (their scores stay in a core's cache).
+QUERY_BLOCK, CANDIDATE_BLOCK = 32, 8192
+#: Components of the candidates that one task holds while queries stream past, and rows below which a table isn't dealt
+#: out to more tasks. A sparse vector's zeros count, so tasks hold this much at most.
+TASK_VALUES, LEAST_ROWS = 4_000_000, 1024
+_INT32, _INT64 = np.iinfo(np.int32), np.iinfo(np.int64)
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -56,20 +62,22 @@ class Block:
 
 
 def accumulate(queries: Block, candidates: Block) -> np.ndarray:
-    """The dense score array of two blocks, one term at a time."""
-    wide = queries.largest * candidates.largest * max(1, len(queries.terms)) > _INT64.max
-    kind = object if wide else np.int64
+    """The dense score array of two blocks, one term at a time, in the narrowest whole numbers that hold every sum."""
+    most = queries.largest * candidates.largest * max(1, len(queries.terms))
+    kind = np.int32 if most <= _INT32.max else np.int64 if most <= _INT64.max else object
     scores = np.zeros((len(queries.ids), len(candidates.ids)), kind)
+    part = np.empty_like(scores)
     for term, (a, b) in queries.terms.items():
         if term not in candidates.terms:
             continue
         c, d = candidates.terms[term]
-        part = np.multiply.outer(queries.weights[a:b].astype(kind), candidates.weights[c:d].astype(kind))
-        if part.shape == scores.shape:
-            scores += part  # every row holds the term, in the order of its place
+        weights, postings = queries.weights[a:b].astype(kind), candidates.weights[c:d].astype(kind)
+        if (b - a, d - c) == scores.shape:  # every row holds the term, in the order of its place
+            np.multiply.outer(weights, postings, out=part)
+            scores += part
         else:
-            scores[np.ix_(queries.places[a:b], candidates.places[c:d])] += part  # a row holds a term once
-    return np.clip(scores, _INT64.min, _INT64.max).astype(np.int64) if wide else scores
+            scores[np.ix_(queries.places[a:b], candidates.places[c:d])] += np.multiply.outer(weights, postings)  # a row holds a term once
+    return np.clip(scores, _INT64.min, _INT64.max).astype(np.int64) if kind is object else scores
 
 
 def select(query_id: int, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +112,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             for place, query in enumerate(block.ids):
                 best[place].append(select(query, candidates.ids, scores[place], k))
         merged = [select(q, *map(np.concatenate, zip(*found, strict=True)), k) for q, found in zip(block.ids, best, strict=True)]
-        yield record_batch(query_id=pa.array(np.repeat(block.ids, [len(m[0]) for m in merged])), vec_id=pa.array(np.concatenate([m[0] for m in merged])), score=pa.array(np.concatenate([m[1] for m in merged])))
+        yield record_batch(query_id=pa.array(np.repeat(block.ids, [len(m[0]) for m in merged])), vec_id=pa.array(np.concatenate([m[0] for m in merged])), score=pa.array(np.concatenate([m[1] for m in merged]).astype(np.int64)))
 
     for batch in batches:
         lists = batch.column(3)
@@ -123,10 +131,13 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products among all other rows."""
     rows = quantised(vectors, scale, id_col, vector_col)
-    groups = max(1, -(-vectors.count() // GROUP))
-    candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("group"), F.lit(False).alias("is_query"), "vec_id", "weights")
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(True).alias("is_query"), "vec_id", "weights")
-    dealt = candidates.unionByName(queries).repartition(groups, "group").sortWithinPartitions("group", "is_query")
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("weights")), F.lit(0)).alias("values")).first()
+    tasks = max(1, -(-size["values"] // TASK_VALUES), min(vectors.sparkSession.sparkContext.defaultParallelism, size["rows"] // LEAST_ROWS))
+    # a row's number depends on its place in its file only, so a task that is run again deals in the same way
+    dealt_to = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tasks)).cast("int")
+    candidates = rows.select(dealt_to.alias("group"), F.lit(False).alias("is_query"), "vec_id", "weights")
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("group"), F.lit(True).alias("is_query"), "vec_id", "weights")
+    dealt = candidates.unionByName(queries).repartitionById(tasks, "group").sortWithinPartitions("group", "is_query")
     best = map_arrow(dealt, lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

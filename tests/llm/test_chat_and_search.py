@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -43,8 +45,11 @@ def brute(rows, k, every):
     return out
 
 
-def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "GROUP", 50)
+@pytest.mark.parametrize(("values", "block"), [(300, 8), (4_000_000, 8192)])
+def test_top_k_equals_brute_force(spark, monkeypatch, values, block):
+    monkeypatch.setattr(topk, "TASK_VALUES", values)  # so that many tasks and blocks meet
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
     rnd = random.Random(1)
     rows = [(i, [round(rnd.uniform(-1, 1), 1) if rnd.random() < 0.7 else 0.0 for _ in range(6)]) for i in range(230)]
     rows += [(300, rows[0][1]), (301, None), (302, [None] * 6), (303, [float("nan")] * 6), (304, [float("inf")] + [0.0] * 5), (400, [0.0] * 6), (500, []), (501, [1.0, 0.5])]
@@ -58,3 +63,18 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 def test_wide_scores_stop_at_the_largest_long(spark):
     df = spark.createDataFrame([(0, [1e15, 1e15]), (1, [1e15, 1e15])], "vec_id long, embedding array<double>")
     assert [r.score for r in topk.top_k(df).collect()] == [2**63 - 1]
+
+
+def test_rows_of_one_id_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TASK_VALUES", 200)
+    rows = [(7, [float(k), 1.0]) for k in range(400)] + [(0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.rank, r.vec_id, r.score) for r in topk.top_k(df, 3, 100).orderBy("rank").collect()] == [(k, 7, 1024 * 1024 * (400 - k)) for k in (1, 2, 3)]
+
+
+def test_sums_are_as_wide_as_they_must_be():
+    for largest in (3, 40_000, 3_000_000_000, 2**40):
+        rows = [np.array([largest, -largest, 0]), np.array([largest, 0, 1])]
+        block = topk.Block([1, 2], rows)
+        want = [[min(2**63 - 1, max(-(2**63), sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for y in rows] for x in rows]
+        assert topk.accumulate(block, block).tolist() == want
