@@ -79,3 +79,19 @@ def test_band_keys_agree_for_equal_sets():
     m = shingles.permutations(36, 1)
     a, b = shingles.shingle_set("a b c d e f g", 3), shingles.shingle_set("A  b c\nd e f g", 3)
     assert (shingles.bands(shingles.min_max(a, *m), 4) == shingles.bands(shingles.min_max(b, *m), 4)).all()
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randrange(5000)}" for _ in range(120)] for _ in range(3)]
+
+    def near(k):
+        words = list(base[k])
+        words[rnd.randrange(len(words))] = "changed"
+        return " ".join(words)
+
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (2, near(0)), (3, near(1)), (5, " ".join(base[2])), (5, near(0)), (6, near(2)), (7, None), (7, near(2)), (8, "alone")]
+    for ordered in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, t, "x", "y") for i, t in ordered], "doc_id long, text string, digest string, bands string")
+        got = sorted({(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df, 3, 85).collect()})
+        assert got == [(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 1), (7, 7), (8, 8)]
