@@ -10,8 +10,8 @@ The decoder holds all tokens' bytes in one array with the offset of each token a
 document at once.
 
 Defined results: a null text is an empty text (no tokens, empty decoded text); texts of any length are encoded whole;
-a vocabulary's special strings inside texts become their one special token; rows are independent; further columns are
-ignored by `encode_decode` and kept by `encoded`.
+a vocabulary's special strings inside texts become their one special token; rows are independent, so repeated rows get the
+same result and an empty table an empty one; further columns are ignored by `encode_decode` and kept by `encoded`.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ body up to the first END. At level 0 role and body stand as they are. At level 1
 and in role and body a backslash is written "\\\\", "<|" is written "<\\|" and in the role a newline is written "\\n".
 Escaped content holds no "<|" but those of the grammar, so level 1 always round-trips.
 
-Defined results: null texts and roles count as empty; rows are ordered by turn (nulls first), then role and text, and
-repeated rows all count; a null conversation id is a conversation of its own; an empty table gives an empty result;
+Defined results: null texts and roles count as empty; rows are ordered by turn (nulls first), and those of one
+turn by their rendered text; repeated rows all count; texts of any length are read whole; a null conversation id is a conversation of its own; an empty table gives an empty result;
 other columns are ignored. A conversation may hold any share of all rows: rendering, checking and escaping are done row
 by row before the shuffle, and what follows streams over sorted rows with a constant amount of memory.
 """
@@ -125,7 +125,7 @@ def digests(turns: DataFrame) -> DataFrame:
         if state is not None:
             yield _rows([(now, *state.row())])
 
-    # the role and the text follow one another in `formatted`; sorting by it orders rows of the same turn
+    # rows of the same turn need an order of their own, whatever it is
     ordered = rendered(turns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     return map_arrow(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_escaped long")
 

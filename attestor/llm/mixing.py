@@ -5,12 +5,14 @@
 2. With w_i the share of all tokens that document i holds and p_i its posterior, a nonnegative rate r_i for each
    document is fitted by least squares: the expected token shares s = sum w_i r_i p_i shall meet the targets t,
        minimise  1/2 sum_d (s_d - t_d)^2 / t_d  +  RIDGE/2 sum_i w_i (r_i - 1)^2,   r >= 0.
-   With the residuals c = (s - t) / t at the optimum, r_i = max(0, 1 - p_i . c / RIDGE), so one number per domain
-   gives all rates. c is the minimum of the convex function
-       RIDGE/2 sum_i w_i r_i(c)^2 + sum_d t_d (c_d + c_d^2 / 2),
-   found by Newton steps, halved until they descend. Each step is one Spark aggregation over the distinct posteriors
-   with their tokens; nothing but a vector and a matrix over the domains reaches the driver, and no state is kept. The
-   steps end when every share meets its optimum within TOLERANCE of its target; if they can't get there, it is an error.
+   This is done by projected gradient steps that are scaled by the second derivatives (projected Newton): the rates go
+   along the scaled gradient and are projected on r >= 0. After any such step the rates are max(0, 1 - p_i . c / RIDGE)
+   for one residual c_d per domain, c = (s - t) / t at the optimum, so a vector over the domains is all the state. The
+   steps are halved until they descend on the convex function of c whose minimum is the optimum,
+       RIDGE/2 sum_i w_i r_i(c)^2 + sum_d t_d (c_d + c_d^2 / 2).
+   Each step is one Spark aggregation over the distinct posteriors with their tokens; nothing but a vector and a matrix
+   over the domains reaches the driver. The steps end when every share meets its optimum within TOLERANCE of its target;
+   if they can't get there, it is an error.
 3. `mixed` repeats each document floor(rate + u) times, u in [0, 1) from a hash of its id: expected totals follow the
    rates, and the same input gives the same result.
 
@@ -18,7 +20,8 @@ Tokens are words between ASCII white space. The targets are weights of a fixed l
 
 Defined results: null and empty texts have no tokens and get the posterior of an empty text and its rate; without
 labelled rows all posteriors are uniform; a domain that no document belongs to can't be met and is left; an empty table
-gives an empty result; repeated rows get the same rate; a null id counts as one id; other columns are kept by `mixed`.
+gives an empty result; texts of any length are read whole; repeated rows get the same rate; a null id counts as one id;
+other columns, whatever their names, are kept by `mixed`.
 """
 
 from __future__ import annotations

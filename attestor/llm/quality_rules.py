@@ -1,35 +1,42 @@
 """Quality rules: tokeniser fertility in bands per language, on top of plain word rules.
 
-A public vocabulary with byte fallback tokenises every word of every whole text. Three measures are taken: characters
-per token, the share of byte-fallback tokens, and token entropy (in windows of WINDOW tokens, as a share of the largest
-entropy a window of its length can have, so that it doesn't depend on a text's length). Spark takes the quartiles of
-each measure over all documents of a language that pass the base rules; a text is rejected where a measure leaves the
-fences FENCE interquartile ranges beyond them (MARGIN at least).
+Public vocabularies tokenise every word of every whole text: a BPE with byte fallback (sentencepiece) and a byte-level
+BPE (tokenizers). Of each, three measures are taken, to DIGITS decimals: characters per token, the share of byte-fallback
+tokens (of the byte-level vocabulary: tokens that aren't whole characters), and token entropy in windows of WINDOW
+tokens, as a share of the largest entropy that a window of its length can have, so that it doesn't depend on a text's
+length. Spark takes the quartiles of each measure over all documents of a language that pass the base rules, exactly: the
+measures have few values, whose counts are added up. A text is rejected where a measure leaves the fences, FENCE
+interquartile ranges beyond the quartiles (MARGIN at least).
 
 Base rules: base_failed if fewer than `least_words` words, or if more than `most_repeats` percent of the words lie in
 windows of eight words that occur twice or more in the text.
 
 Defined results: a null, empty or blank text has no words, fails the base rules and isn't kept; texts of any length are
 read whole; repeated rows get the same verdict; a language is a two-letter code, everything else (null too) counts as
-"und", so there are at most 677 languages; a vocabulary's unknown characters count as byte fallback.
+"und", so there are at most 677 languages; a vocabulary's unknown characters count as byte fallback; an empty table
+gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+import tokenizers
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.common import map_arrow, materialize, record_batch, shared_dir
 
-WINDOW, CACHE_ENTRIES, FENCE = 256, 500_000, 4.0
+WINDOW, CACHE_ENTRIES, FENCE, DIGITS = 256, 300_000, 4.0, 4
 #: The least distance of a fence from its quartile, for each measure, and on which sides it has fences: a short window
-#: has a large share of its largest entropy by nature, and no fallback at all is fine.
+#: has a large share of its largest entropy by nature, and no fallback at all is fine. A byte-level vocabulary has no
+#: fallback as such: a quotation in another language alone makes a good share of tokens that aren't whole characters.
 MARGIN = {"chars_per_token": 0.35, "byte_share": 0.02, "entropy": 0.05}
+BYTE_LEVEL_MARGIN = 0.15
 SIDES = {"chars_per_token": (-1, 1), "byte_share": (1,), "entropy": (-1,)}
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -38,20 +45,34 @@ _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
 
 class Vocabulary(dict):
-    """Word -> identifiers of its tokens (32-bit), filled on demand and emptied when full."""
+    """Word -> identifiers of its tokens (32-bit), filled on demand and emptied when full; which tokens are fallback."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.processor.get_piece_size()
-        self.fallback = np.array([self.processor.is_byte(k) or self.processor.is_unknown(k) for k in range(n)])
+        self.encode: Callable[[str], list[int]]
+        if path.endswith(".model"):
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = pieces.encode
+            self.fallback = np.array([pieces.is_byte(k) or pieces.is_unknown(k) for k in range(pieces.get_piece_size())])
+        else:
+            model = tokenizers.Tokenizer.from_file(path)
+            model.encode_special_tokens = True
+            # a word begins with a space in the texts that such a vocabulary was made from
+            self.encode = lambda word: model.encode(f" {word}", add_special_tokens=False).ids
+            self.fallback = np.array(["\ufffd" in model.decode([k], skip_special_tokens=False) for k in range(model.get_vocab_size())])
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self[word] = np.asarray(self.processor.encode(word.decode("utf-8", "replace")), np.int32).tobytes()
+        ids = self[word] = np.asarray(self.encode(word.decode("utf-8", "replace")), np.int32).tobytes()
         return ids
 
+    def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
+        """Tokens, characters per token, share of fallback tokens and entropy of a text's words."""
+        ids = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+        n = max(1, len(ids))
+        return len(ids), round(chars / n, DIGITS), round(float(self.fallback[ids].sum()) / n, DIGITS), round(window_entropy(ids), DIGITS)
+
 
 def vocabulary(path: str) -> Vocabulary:
     if path not in _VOCABULARIES:
@@ -59,6 +80,16 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
+def margins(models: list[str]) -> list[float]:
+    """The least distance of a fence for each of measure_names."""
+    return [m if name != "byte_share" or model.endswith(".model") else BYTE_LEVEL_MARGIN for model in models for name, m in MARGIN.items()]
+
+
+def measure_names(models: list[str]) -> list[str]:
+    """The columns of measures: those of the first vocabulary have plain names, further ones a number."""
+    return [m if k == 0 else f"{m}_{k + 1}" for k in range(len(models)) for m in MARGIN]
+
+
 def repeated_words(words: list[bytes], width: int = 8) -> int:
     """Words that lie in windows of `width` (a power of two) words found twice or more."""
     if len(words) <= width:
@@ -105,55 +136,69 @@ def window_entropy(ids: np.ndarray) -> float:
     return float(np.log(width) - (runs * np.log(runs)).sum() / rows.size) / float(np.log(width))
 
 
-def measured(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, language, the base counts and the three measures of each row."""
+def measured(docs: DataFrame, models: list[str]) -> DataFrame:
+    """doc_id, language, the base counts, and the tokens and measures by each vocabulary of each row."""
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *["n_tokens" if k == 0 else f"n_tokens_{k + 1}" for k in range(len(models))])
+    names = measure_names(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(model)
+        vocabularies = [vocabulary(m) for m in models]
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode("utf-8", "replace")
                 words = raw.split()
                 chars = len(text) - (len(raw) - len(raw.translate(None, WHITE))) if text else 0
-                ids = np.frombuffer(b"".join(map(pieces.__getitem__, words)), np.int32)
-                n = max(1, len(ids))
-                out.append((len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), duplicate_lines(raw), repeated_words(words), len(ids), chars / n, float(pieces.fallback[ids].sum()) / n, window_entropy(ids)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 9
-            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
-            yield record_batch(
-                doc_id=batch.column(0), language=batch.column(2), **{k: pa.array(c, pa.int64()) for k, c in zip(names, columns[:6], strict=True)}, **{k: pa.array(c, pa.float64()) for k, c in zip(MARGIN, columns[6:], strict=True)}
-            )
+                found = [v.measures(words, chars) for v in vocabularies]
+                base = (len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), duplicate_lines(raw), repeated_words(words))
+                out.append((*base, *[f[0] for f in found], *[v for f in found for v in f[1:]]))
+            columns = list(zip(*out, strict=True)) if out else [()] * (len(counts) + len(names))
+            kinds = [pa.int64()] * len(counts) + [pa.float64()] * len(names)
+            yield record_batch(doc_id=batch.column(0), language=batch.column(2), **{k: pa.array(c, t) for k, c, t in zip((*counts, *names), columns, kinds, strict=True)})
 
     code = F.lower(F.col("lang").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.when(code.rlike("^[a-z]{2}$"), code).otherwise("und").alias("language"))
-    return map_arrow(rows, run, "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double")
+    return map_arrow(rows, run, ", ".join(["doc_id long", "language string", *[f"{c} long" for c in counts], *[f"{m} double" for m in names]]))
 
 
 def base_failed(least_words: int, most_repeats: int) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """For each language, the least and the largest value of each measure that is let through."""
-    quartiles = rows.groupBy("language").agg(*[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MARGIN])
+def quartiles(rows: DataFrame, names: list[str]) -> DataFrame:
+    """language, measure, low and high: the smallest values that at least a quarter and three quarters of a language's
+    rows don't exceed. Each distinct value of a measure is one row of counts, so none of this grows with the corpus."""
+    long = rows.select("language", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in names])).alias("m")).select("language", "m.*")
+    counts = long.groupBy("language", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("language", "measure")
+    up_to, total = F.sum("n").over(by.orderBy("value")), F.sum("n").over(by)
+    least = lambda share: F.min(F.when(F.col("up_to") >= share * F.col("total"), F.col("value")))
+    return counts.withColumns({"up_to": up_to, "total": total}).groupBy("language", "measure").agg(least(0.25).alias("low"), least(0.75).alias("high"))
+
+
+def bands(rows: DataFrame, names: list[str], least: list[float]) -> DataFrame:
+    """One row for each language: the least and the largest value of each measure that is let through. least: the least
+    distance of each measure's fences from its quartiles."""
+    found = quartiles(rows, names).groupBy("language").pivot("measure", names).agg(F.first(F.struct("low", "high")))
 
-    def fence(measure: str, side: int) -> Column:
-        low, high = F.col(measure)[0], F.col(measure)[1]
-        width = F.greatest(FENCE * (high - low), F.lit(MARGIN[measure]))
+    def fence(name: str, margin: float, side: int) -> Column:
+        low, high = F.col(name)["low"], F.col(name)["high"]
+        width = F.greatest(FENCE * (high - low), F.lit(margin))
         return low - width if side < 0 else high + width
 
-    return quartiles.select("language", *[fence(m, s).alias(f"{'least' if s < 0 else 'most'}_{m}") for m in MARGIN for s in SIDES[m]])
+    kinds = [*MARGIN] * (len(names) // len(MARGIN))
+    sides = [(name, margin, side) for name, kind, margin in zip(names, kinds, least, strict=True) for side in SIDES[kind]]
+    return found.select("language", *[fence(*s).alias(f"{'least' if s[2] < 0 else 'most'}_{s[0]}") for s in sides])
 
 
-def judge(docs: DataFrame, model: str, least_words: int = 20, most_repeats: int = 30) -> DataFrame:
-    """doc_id, base counts, base_failed, kept and the measures of each row."""
-    rows = materialize(measured(docs, model), shared_dir(docs.sparkSession), "measures").withColumn("base_failed", base_failed(least_words, most_repeats))
+def judge(docs: DataFrame, models: list[str], least_words: int = 20, most_repeats: int = 30) -> DataFrame:
+    """doc_id, base counts, base_failed, kept, language, and the tokens and measures by each vocabulary of each row."""
+    names = measure_names(models)
+    rows = materialize(measured(docs, models), shared_dir(docs.sparkSession), "measures").withColumn("base_failed", base_failed(least_words, most_repeats))
     # at most 677 languages, so the table of bands is small whatever the input
-    judged = rows.join(F.broadcast(bands(rows.where(~F.col("base_failed")))), "language", "left")
-    inside = F.lit(True)
-    for m in MARGIN:
-        for side in SIDES[m]:
-            within = F.col(m) >= F.col(f"least_{m}") if side < 0 else F.col(m) <= F.col(f"most_{m}")
-            inside = inside & F.coalesce(within, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "language", "n_tokens", *MARGIN)
+    limits = bands(rows.where(~F.col("base_failed")), names, margins(models))
+    judged = rows.join(F.broadcast(limits), "language", "left")
+    within = [F.col(c.removeprefix("least_")) >= F.col(c) if c.startswith("least_") else F.col(c.removeprefix("most_")) <= F.col(c) for c in limits.columns[1:]]
+    inside = reduce(lambda a, b: a & F.coalesce(b, F.lit(True)), within, F.lit(True))
+    tokens = [c for c in rows.columns if c.startswith("n_tokens")]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "language", *tokens, *names)

@@ -80,6 +80,9 @@ def test_segmentation():
     assert split.words("onlinecasino") == ("online", "casino") and "".join(split.words("q" * 300)) == "q" * 300
 
 
+VOCABULARIES = [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")]
+
+
 def test_repeated_words_equal_brute_force():
     rnd = random.Random(4)
     for _ in range(300):
@@ -96,7 +99,7 @@ def test_rules(spark):
     clean = [" ".join(rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(rnd.randint(25, 80))) for _ in range(60)]
     odd = ["a\nb\na\n\n\u00a0\nb", None, "", " ".join(chr(0x12000 + k) + chr(0x12001) for k in range(40)), "# $ x|y <b>"]
     rows = [(i, t, "en", 1) for i, t in enumerate(clean)] + [(100 + i, t, "en", 1) for i, t in enumerate(odd)] + [(200, clean[0], None, 1)]
-    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, entropy int"), public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, entropy int"), VOCABULARIES).collect()}
     assert all(got[i].kept for i in range(60)) and got[200].kept and len(got) == 66
     assert (got[100].n_words, got[100].word_chars, got[100].n_dup_lines, got[100].base_failed) == (5, 5, 2, True)
     assert got[101].n_words == got[102].n_words == 0 and got[101].base_failed
@@ -124,3 +127,24 @@ def test_mixing_meets_targets(spark):
     odd = spark.createDataFrame([(1, None, "en", 1), (None, "", None, 1), (2, "x", "zz", 1)], docs.schema)
     assert mixing.rates(odd, odd.select("doc_id", "domain"), targets).count() == 3
     assert mixing.rates(docs.limit(0), docs.select("doc_id", "domain").limit(0), targets).count() == 0
+
+
+def test_rates_equal_a_plain_projected_gradient(spark):
+    rnd = np.random.default_rng(3)
+    p = np.round(rnd.dirichlet([0.3] * 3, 25) * 64) / 64
+    p[:, 0] += 1 - p.sum(axis=1)
+    tokens, targets = rnd.integers(1, 100, 25), np.array([0.6, 0.3, 0.1])
+    cells = spark.createDataFrame([(x.tolist(), int(n)) for x, n in zip(p, tokens, strict=True)], "posterior array<double>, tokens long")
+    got = {tuple(r.posterior): r.r for r in cells.withColumn("r", mixing.rate(F.col("posterior"), mixing.fit_rates(cells, targets))).collect()}
+    w, r = tokens / tokens.sum(), np.ones(25)
+    step = 1 / ((p**2 / targets).sum(axis=1).max() + mixing.RIDGE)
+    for _ in range(200_000):  # in the metric of the tokens
+        r = np.maximum(0, r - step * (p @ (((w * r) @ p - targets) / targets) + mixing.RIDGE * (r - 1)))
+    assert np.allclose([got[tuple(x)] for x in p.tolist()], r, atol=1e-4) and (r == 0).any()
+
+
+def test_mixing_reads_long_texts_whole(spark):
+    docs = spark.createDataFrame([(1, "the river " * 100_000, "en", "x"), (2, "le vin", "fr", "x")], "doc_id long, text string, domain string, n_tokens string")
+    out = {r.doc_id: r for r in mixing.rates(docs, docs.select("doc_id", "domain"), {"en": 0.5, "fr": 0.5}).collect()}
+    assert out[1].n_tokens == 200_000 and out[2].n_tokens == 2
+    assert set(mixing.mixed(docs, docs.select("doc_id", "domain"), {"en": 0.5, "fr": 0.5}).columns) == set(docs.columns)

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.llm import queries
 
@@ -46,3 +48,37 @@ def test_stages(spark, folder, tmp_path):
 def test_whole_pipeline_is_registered(spark, folder):
     assert queries.QUERIES["pipeline"](spark, folder).count() > 0
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+
+
+EXTRA = ("score", "_score", "__score", "place", "kept", "copies", "rate", "c0", "decoded", "token_ids", "label", "digest")
+
+
+def test_clashing_names_long_texts_and_nulls(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(900, "stone river forest " * 50_000, "en", "s", 7), (None, "silver valley " * 20, "en", None, None), (None, None, "zz", None, None)], docs.schema))
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in EXTRA])
+    seen, columns = {}, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns, name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = docs.collect()
+        assert all(r[c] == (None if r.doc_id is None else f"{c} {r.doc_id}") for r in rows for c in EXTRA)
+        seen[name] = Counter(r.doc_id for r in rows)
+    assert seen["quality"][900] == seen["near_duplicates"][900] == 1
+    assert seen["near_duplicates"][None] == seen["toxicity"][None] == seen["quality"][None]
+    last = corpus_pipeline.encode(spark, docs, folder)
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip"] and last.where("not round_trip").isEmpty()
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_labels_keep_all_good_documents(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == corpus_pipeline.clean(spark, docs, str(tmp_path)).count() == docs.count()
