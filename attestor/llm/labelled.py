@@ -12,10 +12,11 @@ SPARE = 4
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, most_bytes: int | None = None, classes: int = 2) -> DataFrame:
     """doc_id, text and label (0 to classes - 1) of at most `rows` labelled documents, those with the smallest hash of
     doc_id, among the label rows for which `usable` (a condition on doc_id) holds. most_bytes leaves out longer texts,
-    which bounds what a driver collects; it concerns the fitting only. At most SPARE * rows label rows are broadcast, so
-    the documents aren't shuffled; the sample is cut to `rows` after the join. Rows of one doc_id, of labels or of
-    documents, count once (the least of them is taken), so at most `rows` rows reach the driver. Null ids and labels
-    outside the classes are left out; empty tables give an empty sample; other columns are ignored."""
+    which bounds what a driver collects; it concerns the fitting only. At most SPARE * rows label rows are looked up, by
+    their ids alone; the first `rows` ids that have a document are the sample, and only their texts are moved. Rows of
+    one doc_id, of labels or of documents, count once (the least of them is taken), so at most `rows` rows reach the
+    driver. Null ids and labels outside the classes are left out; empty tables give an empty sample; other columns are
+    ignored."""
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -28,5 +29,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if most_bytes is not None:
         texts = texts.where(F.octet_length("text") <= most_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    return found.orderBy(*order).limit(rows).select("doc_id", "text", "label")
+    found = texts.select("doc_id").join(F.broadcast(chosen), "doc_id").distinct().orderBy(*order).limit(rows)
+    return texts.join(F.broadcast(found), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("doc_id", "text", "label")
