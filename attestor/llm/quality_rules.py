@@ -1,7 +1,7 @@
 """Quality rules: tokeniser fertility in bands per language, on top of plain word rules.
 
 Public vocabularies tokenise every word of every whole text: a BPE with byte fallback (sentencepiece) and a byte-level
-BPE (tokenizers). Of each, three measures are taken, to DIGITS decimals: characters per token, the share of byte-fallback
+BPE (tiktoken). Of each, three measures are taken, to DIGITS decimals: characters per token, the share of byte-fallback
 tokens (of the byte-level vocabulary: tokens that aren't whole characters), and token entropy in windows of WINDOW
 tokens, as a share of the largest entropy that a window of its length can have, so that it doesn't depend on a text's
 length. Spark takes the quartiles of each measure over all documents of a language that pass the base rules, exactly: the
@@ -19,13 +19,15 @@ gives an empty result; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-import tokenizers
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,13 @@ class Vocabulary(dict):
             self.encode = pieces.encode
             self.fallback = np.array([pieces.is_byte(k) or pieces.is_unknown(k) for k in range(pieces.get_piece_size())])
         else:
-            model = tokenizers.Tokenizer.from_file(path)
-            model.encode_special_tokens = True
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             # a word begins with a space in the texts that such a vocabulary was made from
-            self.encode = lambda word: model.encode(f" {word}", add_special_tokens=False).ids
-            self.fallback = np.array(["\ufffd" in model.decode([k], skip_special_tokens=False) for k in range(model.get_vocab_size())])
+            self.encode = lambda word: model.encode_ordinary(f" {word}")
+            self.fallback = np.zeros(max(ranks.values()) + 1, bool)
+            self.fallback[[rank for token, rank in ranks.items() if "\ufffd" in token.decode("utf-8", "replace")]] = True
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:

@@ -46,7 +46,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")], least_words=20, most_repeats=30)
+    return quality_rules.judge(table(spark, sf_dir, "documents"), [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")], least_words=20, most_repeats=30)
 
 
 def op9_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

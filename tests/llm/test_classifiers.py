@@ -80,7 +80,7 @@ def test_segmentation():
     assert split.words("onlinecasino") == ("online", "casino") and "".join(split.words("q" * 300)) == "q" * 300
 
 
-VOCABULARIES = [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")]
+VOCABULARIES = [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
 
 
 def test_repeated_words_equal_brute_force():

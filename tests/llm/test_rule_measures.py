@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from attestor.llm import quality_rules as R
 
-PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+PIECES, BYTES, SAME = map(public_tokenizers.path, ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))  # the last two are one vocabulary
 WORDS = "river stone garden window letter élève straße música 漢字 $$$ a|b <b>".split()
 
 
@@ -33,7 +33,7 @@ def corpus():
 
 
 def brute(rows):
-    pieces, library = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(BYTES)
+    pieces, library = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(SAME)
     half = {k for k in range(library.get_vocab_size()) if "�" in library.decode([k], skip_special_tokens=False)}
 
     def entropy(ids):
