@@ -37,16 +37,42 @@ def normalize(c: Column) -> Column:
     return F.regexp_replace(norm(c), r"(\d{1,3})\s+(?=\d{3}\b)", "$1")
 
 
+#: Words that carry no meaning in questions and texts (fixed values).
+STOP = """
+a au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me meme mes moi mon ne nos notre nous on
+ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous quel quelle quels quelles
+""".split()
+
+
+def whole_words(c: Column) -> Column:
+    """Words of the normalised text in order: longer than one character or numbers, and not stop words."""
+    return F.filter(F.split(normalize(c), " "), lambda t: ((F.length(t) > 1) | t.rlike("^[0-9]+$")) & ~t.isin(*STOP))
+
+
 def words(c: Column) -> Column:
-    """Tokens of norm in order, longer than one character."""
-    return F.filter(F.split(norm(c), " "), lambda t: F.length(t) > 1)
+    """Tokens in order: the stems of whole_words."""
+    return F.transform(whole_words(c), stem)
 
 
 def tokens(c: Column) -> Column:
-    """Distinct tokens of norm longer than one character."""
+    """Distinct tokens."""
     return F.array_distinct(words(c))
 
 
+def variants(t: Column) -> Column:
+    """A term and, from five letters on, its forms with an s, without its last s and without its last x."""
+    long = F.length(t) >= 5
+    forms = F.array(t, F.when(long & ~t.endswith("s"), F.concat(t, F.lit("s"))), F.when(long & t.endswith("s"), F.left(t, F.length(t) - 1)), F.when(long & t.endswith("x"), F.left(t, F.length(t) - 1)))
+    return F.array_distinct(F.array_compact(forms))
+
+
+def fnv1a(c: Column) -> Column:
+    """The 32-bit FNV-1a hash of a string's UTF-8 bytes (2166136261 and 16777619 are its fixed values)."""
+    h = F.hex(F.encode(c, "UTF-8"))
+    octets = F.transform(F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h) - 1, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("long"))
+    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda x, b: (x.bitwiseXOR(b) * F.lit(16777619).cast("long")) % F.lit(1 << 32))
+
+
 def stem(t: Column) -> Column:
     """Light plural stem: -aux (over 6 letters) to -al, -es (over 6) and -s (over 5) cut; short words and numbers stay."""
     n = F.length(t)

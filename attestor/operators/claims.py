@@ -87,6 +87,20 @@ def supersession(rows: DataFrame, keys: list[str], id_col: str, at: str) -> Data
     return rows.select(*keys, id_col, at, F.lead(id_col).over(order).alias("superseded_by"))
 
 
+def reciprocity(links: DataFrame) -> DataFrame:
+    """(id, other, rule) for the links `supersedes` that break a rule, with the first rule that they break: mirrored by
+    superseded_by, same actor, same topic, not older. links: id, actor, topic, date, supersedes, superseded_by."""
+    other = links.select(F.col("id").alias("other"), F.col("actor").alias("__actor"), F.col("topic").alias("__topic"), F.col("date").alias("__date"), F.col("superseded_by").alias("__by"))
+    pairs = links.where("supersedes is not null").join(other, F.col("supersedes") == F.col("other"))
+    rule = (
+        F.when(~F.col("__by").eqNullSafe(F.col("id")), "not_mirrored")
+        .when(F.col("actor") != F.col("__actor"), "other_actor")
+        .when(F.col("topic") != F.col("__topic"), "other_topic")
+        .when(F.col("date") < F.col("__date"), "older")
+    )
+    return pairs.select("id", "other", rule.alias("rule")).where("rule is not null")
+
+
 def chains(links: DataFrame, start: str, to: str) -> DataFrame:
     """(node, length, cycle): the length of the chain from each row along its links to its end, whatever it is; null,
     with cycle true, where the links never end. Pointer doubling: each round joins the steps with themselves and is

@@ -1,10 +1,11 @@
 """Batch retrieval: a table of questions against an inverted index of texts.
 
-Nothing scans all texts for each question: questions and texts meet by an equi-join on terms, and what is broadcast is
-only the stop list, whose size is fixed."""
+Nothing scans all texts for each question: questions and texts meet by an equi-join on terms. The term index of a corpus is
+written once and read by every query over the same files."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,31 +13,59 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.operators import terms
-from attestor.session import spread, written
+from attestor.session import shared_base, shared_folder, spread, written
 
 
 @dataclass(frozen=True)
 class Index:
-    """Term counts without stop words, df, and lengths of a corpus."""
+    """Term counts, df, and lengths of a corpus."""
 
     terms: DataFrame  # doc_id, term, tf
     df: DataFrame  # term, df
     lengths: DataFrame  # doc_id, length
-    stop: DataFrame  # term
 
 
-def build_index(docs: DataFrame, stop_words: int = 20) -> Index:
+def _parts(docs: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    return {
+        "terms": lambda _: terms.term_counts(spread(docs.select("doc_id", "text")), "doc_id", F.col("text")),
+        "df": lambda counts: terms.document_frequency(counts, "doc_id"),
+        "lengths": lambda counts: counts.groupBy("doc_id").agg(F.sum("tf").alias("length")),
+    }
+
+
+def build_index(docs: DataFrame) -> Index:
     """Texts are cut into terms once; the counts are written, and all statistics read them from there."""
-    counts = written(terms.term_counts(spread(docs.select("doc_id", "text")), "doc_id", F.col("text")))
-    df = terms.document_frequency(counts, "doc_id")
-    stop = terms.stop_terms(df, stop_words)
-    kept = counts.join(F.broadcast(stop), "term", "left_anti")
-    return Index(kept, df.join(F.broadcast(stop), "term", "left_anti"), kept.groupBy("doc_id").agg(F.sum("tf").alias("length")), stop)
+    parts = _parts(docs)
+    counts = written(parts["terms"](docs))
+    return Index(counts, parts["df"](counts), parts["lengths"](counts))
+
+
+#: Part of an index's name; to be raised when tokens change.
+INDEX_VERSION = 1
+
+
+def kept_index(docs: DataFrame) -> Index:
+    """The index of a table of files, from the shared folder if there is one of the same files (path, size and time of
+    change) already; otherwise it is built and kept. A build that fails leaves nothing behind that is taken for an index."""
+    spark = docs.sparkSession
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    version = docs.select(file.alias("f")).distinct().agg(F.coalesce(F.bit_xor("f"), F.lit(0)).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    path = f"{shared_base(spark)}/attestor-index-{INDEX_VERSION}-{version.n}-{version.x & (1 << 64) - 1:016x}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        draft = shared_folder(spark)
+        for name, part in _parts(docs).items():
+            part(None if name == "terms" else spark.read.parquet(f"{draft}/terms")).write.parquet(f"{draft}/{name}")
+        if not files.exists(place):  # another session may have built it meanwhile
+            files.rename(jvm.org.apache.hadoop.fs.Path(draft), place)
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("terms", "df", "lengths")))
 
 
-def question_terms(questions: DataFrame, stop: DataFrame) -> DataFrame:
-    """(item_id, term): all distinct tokens of each question that aren't stop words."""
-    return questions.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).join(F.broadcast(stop), "term", "left_anti").select("item_id", "term")
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(item_id, term): all distinct tokens of each question."""
+    return questions.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term"))
 
 
 def bm25(index: Index, asked: DataFrame, k1: float = 1.2, b: float = 0.72) -> DataFrame:
@@ -148,4 +177,4 @@ def with_concepts(scored: DataFrame, asked: DataFrame, tagged: DataFrame) -> Dat
     four of them (7 at most). asked: (item_id, concept); tagged: (doc_id, concept)."""
     shared = asked.join(tagged, "concept").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("concepts"))
     bonus = F.when(F.col("concepts") > 0, 5.5 + F.least(F.lit(7.0), 0.8 * F.least(F.lit(4), "concepts"))).otherwise(0.0)
-    return scored.join(shared, ["item_id", "doc_id"], "left").fillna(0, ["concepts"]).select("item_id", "doc_id", F.round(2.7 * F.col("score") + bonus, 4).alias("score"), "concepts")
+    return scored.join(shared, ["item_id", "doc_id"], "left").fillna(0, ["concepts"]).select("item_id", "doc_id", F.round(2.7 * F.col("score") + bonus, 7).alias("score"), "concepts")

@@ -9,7 +9,7 @@ from attestor.functions import text as T
 
 
 def term_counts(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf): each distinct token of each text with its count."""
+    """(id, term, tf): each distinct token of each text with its count. Stop words are none."""
     words = docs.select(id_col, F.explode(T.words(text)).alias("term"))
     return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -19,11 +19,6 @@ def document_frequency(terms: DataFrame, id_col: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def stop_terms(df: DataFrame, count: int = 20) -> DataFrame:
-    """The terms with the largest df: a fixed number of rows."""
-    return df.orderBy(F.desc("df"), "term").limit(count).select("term")
-
-
 def deletion_keys(word: Column) -> Column:
     """The word and all its forms with one letter left out: words at one edit or swap share a key."""
     shorter = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.length(word))))

@@ -1,9 +1,10 @@
-"""Claims and views over the relational tables: an order is a claim, its customer's nation the actor, its priority the
-topic, status F explicit, a price over 150,000 primary, suppliers of its lines its source documents."""
+"""Claims and views over the relational tables: an order is a claim, its customer the actor, its priority the topic,
+status F explicit, P not current, a price over 150,000 primary, suppliers of its lines its source documents. A customer's
+nation is its party; those of the segments in ELIGIBLE inherit the primary evidence of their party."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.operators import claims as C
@@ -13,45 +14,59 @@ from attestor.sources.tables import table
 registry = Registry()
 query = registry.query
 
+#: Segments whose customers inherit their party's evidence.
+ELIGIBLE = ("BUILDING", "MACHINERY")
+
 _WITH = """
-WITH claims AS (SELECT o_orderkey, c_nationkey AS actor, o_orderpriority AS topic, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS date,
-  o_orderstatus = 'F' AS explicit FROM orders JOIN customer ON o_custkey = c_custkey),
-current AS (SELECT * FROM claims WHERE status <> 'P' AND date >= TIMESTAMP '1996-03-01' AND date < TIMESTAMP '1996-04-01'),
-cells AS (SELECT n.n_nationkey AS actor, t.topic, count(c.o_orderkey) AS claims, count(*) FILTER (WHERE c.explicit) AS explicit, max(c.date) AS latest
-  FROM nation n CROSS JOIN (SELECT DISTINCT o_orderpriority AS topic FROM orders) t LEFT JOIN current c ON c.actor = n.n_nationkey AND c.topic = t.topic GROUP BY ALL),
+WITH claims AS (SELECT o_orderkey, c_custkey AS actor, c_nationkey AS party, o_orderpriority AS topic, o_orderstatus AS status, o_totalprice AS price,
+  o_orderdate AS date, o_orderstatus = 'F' AS explicit FROM orders JOIN customer ON o_custkey = c_custkey),
+grid AS (SELECT c_custkey AS actor, c_nationkey AS party, c_mktsegment IN ('BUILDING', 'MACHINERY') AS eligible, topic
+  FROM customer CROSS JOIN (SELECT DISTINCT o_orderpriority AS topic FROM orders)),
+cells AS (SELECT g.actor, g.topic, count(c.o_orderkey) AS claims, count(*) FILTER (WHERE c.explicit) AS explicit, max(c.date) AS latest
+  FROM grid g LEFT JOIN (SELECT * FROM claims WHERE status <> 'P') c ON c.actor = g.actor AND c.topic = g.topic GROUP BY g.actor, g.topic),
 marks AS (SELECT actor, topic, count(*) AS items, count(*) FILTER (WHERE explicit) AS explicit, count(*) FILTER (WHERE price > 150000) AS "primary",
-  sum(CASE status WHEN 'F' THEN 4.0 WHEN 'O' THEN 3.0 ELSE 1.0 END) AS score FROM claims WHERE date >= TIMESTAMP '1996-03-01' AND date < TIMESTAMP '1996-04-01' GROUP BY ALL),
-levels AS (SELECT n.n_nationkey AS actor, t.topic, coalesce(items, 0) AS items, coalesce(score, 0)::DOUBLE AS score,
-  CASE WHEN explicit >= 2 OR (items >= 2 AND score >= 5 AND ("primary" >= 1 OR explicit >= 1)) THEN 'documented' WHEN items > 0 THEN 'partial' ELSE 'none' END AS level
-  FROM nation n CROSS JOIN (SELECT DISTINCT o_orderpriority AS topic FROM orders) t LEFT JOIN marks m ON m.actor = n.n_nationkey AND m.topic = t.topic)
+  sum(CASE status WHEN 'F' THEN 4.0 WHEN 'O' THEN 3.0 ELSE 1.0 END) AS score FROM claims GROUP BY actor, topic),
+shared AS (SELECT party, topic, count(*) AS inherited FROM claims WHERE explicit AND price > 400000 GROUP BY party, topic),
+levels AS (SELECT g.actor, g.topic, coalesce(items, 0) AS items, coalesce(score, 0)::DOUBLE AS score, CASE WHEN g.eligible THEN coalesce(inherited, 0) ELSE 0 END AS inherited,
+  CASE WHEN explicit >= 2 OR (items >= 2 AND score >= 5 AND ("primary" >= 1 OR explicit >= 1)) THEN 'documented' WHEN items > 0 THEN 'partial'
+    WHEN g.eligible AND inherited > 0 THEN 'party_only' ELSE 'none' END AS level
+  FROM grid g LEFT JOIN marks m ON m.actor = g.actor AND m.topic = g.topic LEFT JOIN shared s ON s.party = g.party AND s.topic = g.topic)
 """
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("actor"))
-    return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
-        "o_orderkey", "o_custkey", "actor", F.col("o_orderpriority").alias("topic"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("date"), (F.col("o_orderstatus") == "F").alias("explicit")
-    )
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("actor"), F.col("c_nationkey").alias("party"))
+    joined = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    named = {"topic": "o_orderpriority", "status": "o_orderstatus", "price": "o_totalprice", "date": "o_orderdate"}
+    return joined.select("o_orderkey", "actor", "party", *[F.col(c).alias(k) for k, c in named.items()], (F.col("o_orderstatus") == "F").alias("explicit"))
 
 
-def _month(df: DataFrame) -> DataFrame:
-    """One month of claims, the period of the coverage views."""
-    return df.where((F.col("date") >= F.lit("1996-03-01").cast("timestamp")) & (F.col("date") < F.lit("1996-04-01").cast("timestamp")))
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each actor with its party, whether it inherits, and each topic."""
+    actors = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("actor"), F.col("c_nationkey").alias("party"), F.col("c_mktsegment").isin(*ELIGIBLE).alias("eligible"))
+    return C.scaffold(actors, table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("topic")).distinct())
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actors = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("actor"))
+    actors = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("actor"))
     topics = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("topic")).distinct()
-    return C.coverage_cells(_month(_claims(spark, sf_dir)).where("status <> 'P'"), actors, topics)
+    return C.coverage_cells(_claims(spark, sf_dir).where("status <> 'P'"), actors, topics)
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = _claims(spark, sf_dir)
     weight = C.strength(F.col("status"), {"F": 4.0, "O": 3.0})
-    marks = _month(_claims(spark, sf_dir)).groupBy("actor", "topic").agg(F.count(F.lit(1)).alias("items"), F.count_if("explicit").alias("explicit"), F.count_if(F.col("price") > 150000).alias("primary"), F.sum(weight).alias("score"))
-    actors = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("actor"))
-    topics = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("topic")).distinct()
-    cells = C.scaffold(actors, topics).join(marks, ["actor", "topic"], "left").fillna(0, ["items", "explicit", "primary", "score"])
-    return cells.select("actor", "topic", "items", "explicit", "score", C.coverage_level(F.col("explicit"), F.col("items"), F.col("score"), F.col("primary")).alias("level"))
+    count = lambda c, name: F.count_if(c).alias(name)
+    marks = claims.groupBy("actor", "topic").agg(F.count(F.lit(1)).alias("items"), count(F.col("explicit"), "explicit"), count(F.col("price") > 150000, "primary"), F.sum(weight).alias("score"))
+    shared = claims.where("explicit and price > 400000").groupBy("party", "topic").agg(F.count(F.lit(1)).alias("inherited"))
+    numbers = ["items", "explicit", "primary", "score", "inherited"]
+    cells = _grid(spark, sf_dir).join(marks, ["actor", "topic"], "left").join(shared, ["party", "topic"], "left").fillna(0, numbers)
+    own = F.when(F.col("eligible"), F.col("inherited")).otherwise(0)
+    level = C.coverage_level(F.col("explicit"), F.col("items"), F.col("score"), F.col("primary"), own)
+    return cells.select("actor", "topic", "items", "score", own.cast("long").alias("inherited"), level.alias("level"))
+
+
+_LEVELS = ("documented", "partial", "party_only", "none")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('P')")
@@ -106,41 +121,62 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).where("claims = 0").select("actor", "topic")
 
 
-@query(_WITH + "SELECT actor, n_name, covered, claims FROM (SELECT actor, count(*) FILTER (WHERE claims > 0) AS covered, sum(claims)::BIGINT AS claims FROM cells GROUP BY actor) JOIN nation ON n_nationkey = actor ORDER BY covered, claims, n_name LIMIT 10")
+@query(_WITH + "SELECT actor, c_name, covered, claims FROM (SELECT actor, count(*) FILTER (WHERE claims > 0) AS covered, sum(claims)::BIGINT AS claims FROM cells GROUP BY actor) JOIN customer ON c_custkey = actor ORDER BY covered, claims, c_name LIMIT 25")
 def priority_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of the ten actors with the least coverage."""
+    """The report of the 25 actors with the least coverage."""
     rows = _cells(spark, sf_dir).groupBy("actor").agg(F.count_if(F.col("claims") > 0).alias("covered"), F.sum("claims").alias("claims"))
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("actor"), "n_name")
-    return rows.join(names, "actor").orderBy("covered", "claims", "n_name").limit(10).select("actor", "n_name", "covered", "claims")
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("actor"), "c_name")
+    return rows.join(names, "actor").orderBy("covered", "claims", "c_name").limit(25).select("actor", "c_name", "covered", "claims")
 
 
-@query(_WITH + "SELECT actor, topic, items, score, level FROM levels")
+@query(_WITH + "SELECT actor, topic, items, score, inherited, level FROM levels")
 def coverage_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir).select("actor", "topic", "items", "score", "level")
+    return _levels(spark, sf_dir)
 
 
-@query(_WITH + "SELECT actor, count(*) FILTER (WHERE level = 'documented') AS documented, count(*) FILTER (WHERE level = 'partial') AS partial, count(*) FILTER (WHERE level = 'none') AS none FROM levels GROUP BY actor")
+@query(_WITH + "SELECT actor, " + ", ".join(f"count(*) FILTER (WHERE level = '{x}') AS {x}" for x in _LEVELS) + " FROM levels GROUP BY actor")
 def coverage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir).groupBy("actor").pivot("level", ["documented", "partial", "none"]).count().fillna(0)
+    return _levels(spark, sf_dir).groupBy("actor").pivot("level", list(_LEVELS)).count().fillna(0)
 
 
-@query(_WITH + "SELECT topic, actor, level, score FROM levels QUALIFY row_number() OVER (PARTITION BY topic ORDER BY CASE level WHEN 'documented' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, score DESC, actor) <= 8")
-def topic_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.when(F.col("level") == "documented", 0).when(F.col("level") == "partial", 1).otherwise(2)
-    order = Window.partitionBy("topic").orderBy(rank, F.desc("score"), "actor")
-    return _levels(spark, sf_dir).withColumn("n", F.row_number().over(order)).where("n <= 8").select("topic", "actor", "level", "score")
+_PLACE = "CASE level WHEN 'documented' THEN 0 WHEN 'partial' THEN 1 WHEN 'party_only' THEN 2 ELSE 3 END"
 
 
-@query(_WITH + "SELECT topic, max(level) FILTER (WHERE actor = 1) AS first_level, max(level) FILTER (WHERE actor = 2) AS second_level, sum(items) FILTER (WHERE actor IN (1, 2))::BIGINT AS items FROM levels GROUP BY topic")
-def comparison_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two actors side by side, topic by topic."""
-    two = _levels(spark, sf_dir)
-    return two.groupBy("topic").agg(F.max(F.when(F.col("actor") == 1, F.col("level"))).alias("first_level"), F.max(F.when(F.col("actor") == 2, F.col("level"))).alias("second_level"), F.sum(F.when(F.col("actor").isin(1, 2), F.col("items"))).alias("items"))
+def _place(level: Column) -> Column:
+    return F.when(level == "documented", 0).when(level == "partial", 1).when(level == "party_only", 2).otherwise(3)
+
+
+@query(_WITH + f"SELECT topic, actor, level, score, {_PLACE} AS place FROM levels WHERE level <> 'none'")
+def topic_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All actors with evidence on a topic, for display in the order of place, score and actor. The order is left to who
+    shows a topic, since a topic of all actors can't be numbered in one task."""
+    rows = _levels(spark, sf_dir).where("level <> 'none'")
+    return rows.select("topic", "actor", "level", "score", _place(F.col("level")).alias("place"))
 
 
-@query(_WITH + "SELECT actor, count(*) AS claims, count(DISTINCT topic) AS topics, max(date) AS latest, count(*) FILTER (WHERE explicit) AS explicit FROM claims WHERE status <> 'P' GROUP BY actor")
+@query(_WITH + """, compared AS (SELECT c_nationkey AS comparison, c_custkey AS actor FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 4),
+signals AS (SELECT comparison, topic, actor, CASE WHEN level = 'documented' THEN 'direct' WHEN level = 'partial' THEN 'attributed' WHEN level = 'party_only' THEN 'party_only' ELSE 'missing' END AS signal FROM levels JOIN compared USING (actor))
+SELECT comparison, topic, """ + ", ".join(f"coalesce(string_agg(actor, ',' ORDER BY actor) FILTER (WHERE signal = '{x}'), '') AS {x}" for x in ("direct", "attributed", "party_only", "missing")) + " FROM signals GROUP BY comparison, topic")
+def comparison_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of up to four actors (the first of each nation), topic by topic: who has documented evidence, some,
+    only the party's, or none."""
+    first = Window.partitionBy("comparison").orderBy("actor")
+    compared = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("comparison"), F.col("c_custkey").alias("actor")).withColumn("n", F.row_number().over(first)).where("n <= 4")
+    signal = {"direct": "documented", "attributed": "partial", "party_only": "party_only", "missing": "none"}
+    held = lambda level: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.col("actor")))), lambda x: x.cast("string")), ",")
+    return _levels(spark, sf_dir).join(compared, "actor").groupBy("comparison", "topic").agg(*[held(level).alias(name) for name, level in signal.items()])
+
+
+@query(_WITH + f""", kept AS (SELECT actor, string_agg(topic || ':' || level, ';' ORDER BY topic) AS topics, count(*) FILTER (WHERE level = 'documented') AS documented FROM levels GROUP BY actor),
+latest AS (SELECT actor, string_agg(o_orderkey, ',' ORDER BY date DESC, o_orderkey) AS latest FROM (SELECT * FROM claims WHERE status <> 'P' QUALIFY row_number() OVER (PARTITION BY actor ORDER BY date DESC, o_orderkey) <= 5) GROUP BY actor)
+SELECT k.actor, k.topics, k.documented, coalesce(l.latest, '') AS latest FROM kept k LEFT JOIN latest l USING (actor)""")
 def actor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claims(spark, sf_dir).where("status <> 'P'").groupBy("actor").agg(F.count(F.lit(1)).alias("claims"), F.countDistinct("topic").alias("topics"), F.max("date").alias("latest"), F.count_if("explicit").alias("explicit"))
+    """Each actor's level for every topic, the number of documented ones, and the five latest current claims."""
+    levels = _levels(spark, sf_dir).groupBy("actor").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "topic", "level"))), ";").alias("topics"), F.count_if(F.col("level") == "documented").alias("documented"))
+    order = Window.partitionBy("actor").orderBy(F.desc("date"), "o_orderkey")
+    top = _claims(spark, sf_dir).where("status <> 'P'").withColumn("n", F.row_number().over(order)).where("n <= 5")
+    latest = top.groupBy("actor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "o_orderkey"))), lambda x: x.o_orderkey.cast("string")), ",").alias("latest"))
+    return levels.join(latest, "actor", "left").select("actor", "topics", "documented", F.coalesce("latest", F.lit("")).alias("latest"))
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS sources, count(*) AS lines FROM lineitem GROUP BY l_orderkey")
@@ -193,12 +229,23 @@ def inherit_unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.when(F.min("p_brand") == F.max("p_brand"), F.min("p_brand")).alias("brand"), F.min("l_shipdate").alias("earliest"))
 
 
-@query("SELECT o_custkey, o_orderpriority, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM orders")
+_LINKS = """WITH l AS (SELECT o_orderkey AS id, o_custkey AS actor, o_orderpriority AS topic, o_orderdate AS date,
+lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes,
+lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM orders)"""
+
+
+@query(_LINKS + """ SELECT a.id, b.id AS other, CASE WHEN b.superseded_by IS DISTINCT FROM a.id THEN 'not_mirrored' WHEN a.actor <> b.actor THEN 'other_actor' WHEN a.topic <> b.topic THEN 'other_topic' WHEN a.date < b.date THEN 'older' END AS rule
+FROM l a JOIN l b ON a.supersedes = b.id WHERE b.superseded_by IS DISTINCT FROM a.id OR a.actor <> b.actor OR a.topic <> b.topic OR a.date < b.date""")
 def supersession_reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.supersession(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", "o_orderdate").select("o_custkey", "o_orderpriority", "o_orderkey", "superseded_by")
+    """Links that aren't mirrored, or lead to another actor or topic or to a newer claim. An order claims to supersede the
+    customer's last one, and to be superseded by the customer's next one of its own priority, so some links don't match."""
+    at = ["o_orderdate", "o_orderkey"]
+    last, following = Window.partitionBy("o_custkey").orderBy(*at), Window.partitionBy("o_custkey", "o_orderpriority").orderBy(*at)
+    links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("actor"), F.col("o_orderpriority").alias("topic"), F.col("o_orderdate").alias("date"), F.lag("o_orderkey").over(last).alias("supersedes"), F.lead("o_orderkey").over(following).alias("superseded_by"))
+    return C.reciprocity(links)
 
 
-@query("SELECT o_orderkey AS node, least(10, count(*) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) - 1)::INTEGER AS length FROM orders")
+@query("SELECT o_orderkey AS node, (count(*) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) - 1)::INTEGER AS length FROM orders")
 def supersession_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = C.supersession(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", "o_orderdate")
     return C.closure(links, "o_orderkey", "superseded_by")
@@ -235,11 +282,13 @@ def recent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25).select("o_orderkey", "o_orderdate")
 
 
-@query(_WITH + "SELECT actor, o_orderkey, status <> 'P' AS is_current FROM claims QUALIFY row_number() OVER (PARTITION BY actor, status <> 'P' ORDER BY date DESC, o_orderkey) <= CASE WHEN status <> 'P' THEN 20 ELSE 8 END")
+@query(_WITH + "SELECT party, o_orderkey, status <> 'P' AS is_current FROM claims QUALIFY row_number() OVER (PARTITION BY party, status <> 'P' ORDER BY date DESC, o_orderkey) <= CASE WHEN status <> 'P' THEN 20 ELSE 8 END")
 def context_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _claims(spark, sf_dir).withColumn("is_current", F.col("status") != "P")
-    order = Window.partitionBy("actor", "is_current").orderBy(F.desc("date"), "o_orderkey")
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.when(F.col("is_current"), 20).otherwise(8)).select("actor", "o_orderkey", "is_current")
+    """The latest 20 current and 8 historical claims of each party. Two windows with fixed limits, so that each task cuts
+    its rows to the limit before they are shuffled."""
+    rows, order = _claims(spark, sf_dir), Window.partitionBy("party").orderBy(F.desc("date"), "o_orderkey")
+    latest = lambda part, n: part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+    return latest(rows.where("status <> 'P'"), 20).unionByName(latest(rows.where("status = 'P'"), 8)).select("party", "o_orderkey", (F.col("status") != "P").alias("is_current"))
 
 
 @query("SELECT greatest(max(o_orderdate) FILTER (WHERE o_orderstatus = 'F'), max(o_orderdate) FILTER (WHERE o_orderstatus = 'O'), TIMESTAMP '1995-01-01') AS freshness FROM orders")
@@ -268,12 +317,17 @@ def completeness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(done).alias("final"), F.count_if(done).alias("done"), F.count(F.lit(1)).alias("total"))
 
 
-@query("""SELECT a, 'minus' AS op, t FROM (SELECT c_nationkey AS a, o_orderpriority AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_totalprice > 490000 EXCEPT SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_totalprice > 490000)
-UNION ALL SELECT a, 'both', t FROM (SELECT c_nationkey AS a, o_orderpriority AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_totalprice > 490000 INTERSECT SELECT c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_totalprice > 490000)""")
+_OF = "SELECT o_custkey AS a, o_orderpriority AS t FROM orders WHERE o_orderstatus"
+
+
+@query(f"SELECT a, 'minus' AS op, t FROM ({_OF} = 'F' EXCEPT {_OF} = 'P') UNION ALL SELECT a, 'both', t FROM ({_OF} = 'F' INTERSECT {_OF} = 'P') UNION ALL SELECT a, 'either', t FROM ({_OF} = 'F' UNION {_OF} = 'P')")
 def set_ops_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _claims(spark, sf_dir).where("price > 490000").select(F.col("actor").alias("a"), F.col("topic").alias("t"), "status")
-    f, p = (rows.where(F.col("status") == s).select("a", "t") for s in ("F", "P"))
-    return f.subtract(p).withColumn("op", F.lit("minus")).unionByName(f.intersect(p).withColumn("op", F.lit("both")))
+    """Topics of each actor's explicit claims without, and with, those of the historical ones, and of both together."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderpriority").alias("t"), "o_orderstatus")
+    f, p = (rows.where(F.col("o_orderstatus") == s).select("a", "t") for s in ("F", "P"))
+    parts = {"minus": f.subtract(p), "both": f.intersect(p), "either": f.union(p).distinct()}
+    named = [df.withColumn("op", F.lit(op)) for op, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 _NODES = """SELECT 'claim:' || o_orderkey AS id, 'claim' AS kind FROM orders UNION ALL SELECT 'entity:' || c_custkey, 'entity' FROM customer UNION ALL SELECT 'document:' || s_suppkey, 'document' FROM supplier"""

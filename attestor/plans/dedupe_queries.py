@@ -25,11 +25,11 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("key", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
 
 
-_SETS = f"""WITH f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, lang, sha256({sql_norm('text')})),
-s AS (SELECT doc_id, source, lang, list_distinct({sql_words('text')}) AS w FROM documents JOIN f USING (doc_id))"""
+_SETS = f"""WITH s0 AS (SELECT doc_id, list_sort(list_distinct({sql_words('text')})) AS w FROM documents),
+s AS (SELECT min(doc_id) AS doc_id, w, len(w) AS n FROM s0 GROUP BY w)"""
 
 
-@query(_SETS + """, p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w)) AS c, len(x.w) AS n, len(y.w) AS m FROM s x JOIN s y ON x.source = y.source AND x.lang = y.lang AND x.doc_id < y.doc_id)
+@query(_SETS + """, p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w)) AS c, x.n, y.n AS m FROM s x JOIN s y ON x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.68 * greatest(x.n, y.n))
 SELECT a, b, round(c / (n + m - c), 6) AS similarity FROM p WHERE n + m > 0 AND c / (n + m - c) >= 0.68""")
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different token sets of the whole corpus with a similarity of at least 0.68; the first document of a set
@@ -39,7 +39,7 @@ def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.pairs_by_rare_token(written(keyed.join(first, "doc_id", "left_semi").select("doc_id", "tokens")), "doc_id", [], 0.68)
 
 
-@query()
+@query(_SETS + " SELECT s0.doc_id, s.doc_id AS representative FROM s0 JOIN s USING (w)")
 def neardup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the first one of its token set, which stands for it in neardup_pairs."""
     return D.members(written(_keyed(spark, sf_dir).select("doc_id", "key")), "doc_id", "key")
@@ -48,22 +48,23 @@ def neardup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST = "list_extract(list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 12), 1)"
 
 
-@query(f"""WITH c AS (SELECT min(doc_id) AS doc_id, source, lang, list_distinct({sql_words('s')}) AS w, list_distinct(regexp_extract_all(s, '[0-9]+')) AS n FROM (SELECT doc_id, source, lang, {_FIRST} AS s FROM documents) WHERE s IS NOT NULL GROUP BY source, lang, s),
-t AS (SELECT token, count(*) AS df FROM (SELECT unnest(w) AS token FROM c) GROUP BY token),
-k AS (SELECT c.*, rare FROM c JOIN (SELECT doc_id, arg_min(token, (df, token)) AS rare FROM (SELECT doc_id, unnest(w) AS token FROM c) JOIN t USING (token) GROUP BY doc_id) USING (doc_id))
-SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.source = y.source AND x.lang = y.lang AND x.rare = y.rare AND x.doc_id < y.doc_id
-WHERE (len(x.n) = 0 OR len(y.n) = 0 OR len(list_intersect(x.n, y.n)) > 0) AND len(list_intersect(x.w, y.w)) >= CASE WHEN least(len(x.w), len(y.w)) <= 4 THEN 2 ELSE 3 END
-AND (len(list_intersect(x.w, y.w)) >= 4 OR len(list_intersect(x.w, y.w)) >= 0.4 * least(len(x.w), len(y.w)))""")
+@query(f"""WITH RECURSIVE c AS (SELECT min(doc_id) AS doc_id, source, lang, list_distinct({sql_words('s')}) AS w, list_distinct(regexp_extract_all(s, '[0-9]+')) AS n FROM (SELECT doc_id, source, lang, {_FIRST} AS s FROM documents) WHERE s IS NOT NULL GROUP BY source, lang, s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w)) AS shared, least(len(x.w), len(y.w)) AS least FROM c x JOIN c y ON x.source = y.source AND x.lang = y.lang AND x.doc_id < y.doc_id
+WHERE len(x.n) = 0 OR len(y.n) = 0 OR len(list_intersect(x.n, y.n)) > 0),
+l AS (SELECT a, b FROM p WHERE shared >= CASE WHEN least <= 4 THEN 2 ELSE 3 END AND (shared >= 4 OR shared >= 0.4 * least)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT c.doc_id, (SELECT count(*) FROM e WHERE e.a = c.doc_id) AS links, (SELECT min(b) FROM reach r WHERE r.a = c.doc_id) AS class_id FROM c""")
 def claim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different first sentences of a source and language that say the same, whichever terms they share. Equal ones are
-    represented by the smallest doc_id."""
+    """Claims (first sentences) of a source and language: with how many others each says the same, whichever terms they
+    share, and the smallest doc_id of its class. Equal sentences are one claim, under the smallest doc_id."""
     first = F.get(T.sentences(F.col("text"), 12), F.lit(0))
     said = table(spark, sf_dir, "documents").withColumn("s", first).where("s is not null").groupBy("source", "lang", "s").agg(F.min("doc_id").alias("doc_id"))
-    claims = said.select("doc_id", "source", "lang", T.tokens(F.col("s")).alias("tokens"), F.array_distinct(F.regexp_extract_all("s", F.lit("[0-9]+"), F.lit(0))).alias("numbers"))
-    return D.claim_pairs(written(claims), "doc_id", ["source", "lang"])
+    claims = written(said.select("doc_id", "source", "lang", T.tokens(F.col("s")).alias("tokens"), F.array_distinct(F.regexp_extract_all("s", F.lit("[0-9]+"), F.lit(0))).alias("numbers")))
+    return D.link_classes(claims.select("doc_id"), "doc_id", D.claim_pairs(claims, "doc_id", ["source", "lang"]))
 
 
-_CONCEPTS = _WITH + ", concept AS (SELECT term FROM df0 WHERE df >= 3 AND length(term) >= 5 ORDER BY df, term LIMIT 50)"
+_CONCEPTS = _WITH + ", concept AS (SELECT term FROM df WHERE df >= 3 AND length(term) >= 5 ORDER BY df, term LIMIT 50)"
 
 
 def _concepts(df: DataFrame) -> DataFrame:
@@ -78,17 +79,17 @@ def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs, counts.join(F.broadcast(concepts), "term").select("doc_id", F.col("term").alias("concept"))
 
 
-@query(_CONCEPTS + " SELECT term AS concept, count(*) AS documents FROM tf0 JOIN concept USING (term) GROUP BY term")
+@query(_CONCEPTS + " SELECT term AS concept, count(*) AS documents FROM tf JOIN concept USING (term) GROUP BY term")
 def concept_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged(spark, sf_dir)[1].groupBy("concept").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(_CONCEPTS + " SELECT doc_id, term AS concept FROM tf0 JOIN concept USING (term)")
+@query(_CONCEPTS + " SELECT doc_id, term AS concept FROM tf JOIN concept USING (term)")
 def concept_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged(spark, sf_dir)[1]
 
 
-@query(_CONCEPTS + " SELECT count(*) AS documents, count(*) FILTER (WHERE n > 0) AS covered FROM (SELECT d.doc_id, count(c.term) AS n FROM documents d LEFT JOIN (tf0 JOIN concept c USING (term)) USING (doc_id) GROUP BY d.doc_id)")
+@query(_CONCEPTS + " SELECT count(*) AS documents, count(*) FILTER (WHERE n > 0) AS covered FROM (SELECT d.doc_id, count(c.term) AS n FROM documents d LEFT JOIN (tf JOIN concept c USING (term)) USING (doc_id) GROUP BY d.doc_id)")
 def ontology_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tagged = _tagged(spark, sf_dir)
     covered = docs.select("doc_id").join(tagged.select("doc_id").distinct().withColumn("c", F.lit(True)), "doc_id", "left")
@@ -156,7 +157,8 @@ def number_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WITH + """, top1 AS (SELECT item_id, r.doc_id, d.source, d.text FROM ranked r JOIN documents d USING (doc_id) WHERE rank = 1),
 tt AS (SELECT item_id, source, term FROM top1 JOIN tf USING (doc_id)),
-x AS (SELECT t.item_id, d.doc_id, count(*) AS shared FROM tt t JOIN tf USING (term) JOIN documents d ON d.doc_id = tf.doc_id AND d.source = t.source GROUP BY ALL)
+held AS (SELECT source, term, doc_id FROM tf JOIN documents USING (doc_id)),
+x AS (SELECT item_id, doc_id, count(*) AS shared FROM tt JOIN held USING (source, term) GROUP BY ALL)
 SELECT item_id, doc_id, shared FROM x WHERE shared >= 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) <= 5""")
 def evidence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the best text of each question, the five texts of its source that share most terms with it (two at least)."""
@@ -168,7 +170,7 @@ def evidence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.keep_first(shared.withColumn("o", F.struct(-F.col("shared"), "doc_id")), "item_id", "o", 5).select("item_id", "doc_id", "shared")
 
 
-@query(_CONCEPTS + f""", pair AS (SELECT DISTINCT source, term FROM tf0 JOIN concept USING (term) JOIN documents USING (doc_id)),
+@query(_CONCEPTS + f""", pair AS (SELECT DISTINCT source, term FROM tf JOIN concept USING (term) JOIN documents USING (doc_id)),
 asked2 AS (SELECT DISTINCT term FROM (SELECT unnest({sql_words('text')}) AS term FROM conversations WHERE role = 'user'))
 SELECT source, term AS concept FROM pair WHERE term NOT IN (SELECT term FROM asked2)""")
 def suggest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +200,7 @@ def mapping_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("reply").isNotNull() & F.contains(F.lower("reply"), F.lower(span))).select("conv_id", "turn")
 
 
-@query(_WITH + f"""SELECT conv_id, turn, bool_and(term IN (SELECT term FROM df0)) AS in_scope FROM (SELECT conv_id, turn, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS term FROM (SELECT conv_id, turn, {sql_words('text')} AS w FROM conversations WHERE role = 'user')) WHERE term IS NOT NULL GROUP BY conv_id, turn""")
+@query(_WITH + f"""SELECT conv_id, turn, bool_and(term IN (SELECT term FROM df)) AS in_scope FROM (SELECT conv_id, turn, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS term FROM (SELECT conv_id, turn, {sql_words('text')} AS w FROM conversations WHERE role = 'user')) WHERE term IS NOT NULL GROUP BY conv_id, turn""")
 def question_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every term of a user turn is in the corpus vocabulary."""
     vocabulary = terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).select("term").distinct().withColumn("known", F.lit(True))
@@ -206,13 +208,14 @@ def question_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id", "turn").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("in_scope"))
 
 
-@query(_WITH + f""", first AS (SELECT doc_id, {sql_norm(f'coalesce({_FIRST}, {chr(39)}{chr(39)})')} AS title FROM documents)
-SELECT b.item_id, f.doc_id FROM (SELECT item_id, ' ' || {sql_norm('text')} || ' ' AS q FROM benchmark) b JOIN first f ON length(f.title) >= 8 AND contains(b.q, ' ' || f.title || ' ')""")
+@query(f"""WITH first AS (SELECT item_id, {sql_norm(f'coalesce({_FIRST}, {chr(39)}{chr(39)})')} AS title FROM benchmark)
+SELECT f.item_id, d.doc_id FROM (SELECT doc_id, ' ' || {sql_norm('text')} || ' ' AS q FROM documents) d JOIN first f ON length(f.title) >= 8 AND contains(d.q, ' ' || f.title || ' ')""")
 def title_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions that contain a document's first sentence as a phrase; the sentence's rarest word anchors the join."""
+    """Texts that contain the title (first sentence) of a benchmark record as a phrase; the title's rarest word anchors
+    the join."""
     first = F.coalesce(F.get(T.sentences(F.col("text"), 12), F.lit(0)), F.lit(""))
-    titles = table(spark, sf_dir, "documents").select("doc_id", first.alias("text")).where(F.length(T.norm(F.col("text"))) >= 8)
-    return terms.phrase_pairs(table(spark, sf_dir, "benchmark"), titles, "item_id", "doc_id")
+    titles = table(spark, sf_dir, "benchmark").select("item_id", first.alias("text")).where(F.length(T.norm(F.col("text"))) >= 8)
+    return terms.phrase_pairs(table(spark, sf_dir, "documents"), titles, "doc_id", "item_id")
 
 
 @query()

@@ -70,8 +70,8 @@ def flexible_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_CONCEPTS + f""", qc AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({sql_words('text')}) AS term FROM benchmark) WHERE term IN (SELECT term FROM concept)),
-sh AS (SELECT item_id, doc_id, count(*) AS concepts FROM qc JOIN tf0 USING (term) GROUP BY ALL)
-SELECT item_id, doc_id, round(2.7 * score + CASE WHEN coalesce(concepts, 0) > 0 THEN 5.5 + least(7.0, 0.8 * least(4, concepts)) ELSE 0.0 END, 4)::DOUBLE AS score, coalesce(concepts, 0) AS concepts FROM scored LEFT JOIN sh USING (item_id, doc_id)""")
+sh AS (SELECT item_id, doc_id, count(*) AS concepts FROM qc JOIN tf USING (term) GROUP BY ALL)
+SELECT item_id, doc_id, round(2.7 * score + CASE WHEN coalesce(concepts, 0) > 0 THEN 5.5 + least(7.0, 0.8 * least(4, concepts)) ELSE 0.0 END, 7)::DOUBLE AS score, coalesce(concepts, 0) AS concepts FROM scored LEFT JOIN sh USING (item_id, doc_id)""")
 def bm25_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, questions, index, asked = _parts(spark, sf_dir)
     tagged = _tagged(spark, sf_dir)[1]

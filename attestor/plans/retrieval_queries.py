@@ -1,4 +1,4 @@
-"""Retrieval over documents, with the benchmark passages as questions (all their terms but stop words)."""
+"""Retrieval over documents, with the benchmark passages as questions (all their terms)."""
 
 from __future__ import annotations
 
@@ -16,17 +16,11 @@ query = registry.query
 
 _WITH = f"""
 WITH RECURSIVE words AS (SELECT doc_id, unnest({sql_words('text')}) AS term FROM documents),
-tf0 AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
-df0 AS (SELECT term, count(*) AS df FROM tf0 GROUP BY term),
-stop AS (SELECT term FROM df0 ORDER BY df DESC, term LIMIT 20),
-tf AS (SELECT * FROM tf0 WHERE term NOT IN (SELECT term FROM stop)),
-df AS (SELECT * FROM df0 WHERE term NOT IN (SELECT term FROM stop)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 len AS (SELECT doc_id, sum(tf) AS length FROM tf GROUP BY doc_id),
 size AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
-q0 AS (SELECT item_id, {sql_words('text')} AS w FROM benchmark),
-q1 AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM q0),
-q2 AS (SELECT item_id, term, min(pos) AS pos FROM q1 WHERE term NOT IN (SELECT term FROM stop) GROUP BY ALL),
-asked AS (SELECT item_id, term FROM q2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 12),
+asked AS (SELECT DISTINCT item_id, unnest({sql_words('text')}) AS term FROM benchmark),
 scored AS (SELECT item_id, doc_id, count(*) AS hits,
   round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.72 + 0.72 * length / mean))), 6) AS score
   FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN len USING (doc_id), size GROUP BY item_id, doc_id),
@@ -39,12 +33,12 @@ truth AS (SELECT b.item_id, d.doc_id FROM (SELECT item_id, ' ' || {sql_norm('tex
 
 def _parts(spark: SparkSession, sf_dir: str):
     docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    index = R.build_index(docs)
-    asked = R.question_terms(questions, index.stop)
+    index = R.kept_index(docs)
+    asked = R.question_terms(questions)
     return docs, questions, index, asked
 
 
-@query(_WITH + "SELECT term, df FROM df0")
+@query(_WITH + "SELECT term, df FROM df")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.document_frequency(terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "doc_id")
 
@@ -160,15 +154,15 @@ def extractive_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.extract_sentences(R.top(R.bm25(index, asked), 5), docs, asked)
 
 
-@query(_WITH + """, e AS (SELECT DISTINCT item_id, source FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5), s AS (SELECT DISTINCT source FROM documents)
-SELECT b.item_id, s.source FROM benchmark b, s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.item_id = b.item_id AND e.source = s.source)""")
+@query(_WITH + """, e AS (SELECT DISTINCT item_id, source FROM ranked JOIN documents USING (doc_id) WHERE rank <= 1)
+SELECT DISTINCT t.item_id, d.source FROM truth t JOIN documents d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.item_id = t.item_id AND e.source = d.source)""")
 def missing_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested sources (here all of them) without evidence for a question. The requests are a table of questions and
-    sources, built as an array for each question, not a cross join."""
+    """Requested sources without evidence for a question. A question requests the sources whose texts hold its passage;
+    its answer is drawn from the best text."""
     docs, questions, index, asked = _parts(spark, sf_dir)
-    evidence = R.top(R.bm25(index, asked), 5).join(docs.select("doc_id", "source"), "doc_id").select("item_id", "source")
-    sources = docs.agg(F.array_sort(F.collect_set("source"))).scalar()  # the catalogue of sources
-    requested = questions.select("item_id", sources.alias("sources")).select("item_id", F.explode("sources").alias("source"))
+    sources = docs.select("doc_id", "source")
+    evidence = R.top(R.bm25(index, asked), 1).join(sources, "doc_id").select("item_id", "source")
+    requested = terms.phrase_pairs(docs, questions, "doc_id", "item_id").join(sources, "doc_id").select("item_id", "source").distinct()
     return requested.join(evidence, ["item_id", "source"], "left_anti")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions import text as T
 from attestor.functions import urls as U
 from attestor.operators import terms
-from attestor.plans.registry import Registry, sql_compact, sql_norm, sql_words
+from attestor.plans.registry import Registry, sql_compact, sql_norm, sql_normalize, sql_stem, sql_whole_words, sql_words
 from attestor.sources import pages as P
 from attestor.sources.tables import table
 
@@ -21,13 +21,7 @@ def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
-_JOINED = sql_norm("text")
-for _ in range(2):  # without lookahead, neighbouring groups of thousands take two passes with a mark between them
-    _JOINED = f"regexp_replace({_JOINED}, '(\\d) (\\d{{3}})\\b', '\\1~\\2', 'g')"
-_JOINED = f"replace({_JOINED}, '~', '')"
-
-
-@query(f"SELECT doc_id, {_JOINED} AS normalized FROM documents")
+@query(f"SELECT doc_id, {sql_normalize('text')} AS normalized FROM documents")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
@@ -37,15 +31,29 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-@query(f"""
-WITH t AS (SELECT DISTINCT unnest({sql_words('text')}) AS term FROM documents)
-SELECT term, CASE WHEN length(term) <= 4 OR regexp_full_match(term, '[0-9]+') THEN term
-    WHEN length(term) > 6 AND term LIKE '%aux' THEN left(term, length(term) - 3) || 'al'
-    WHEN length(term) > 6 AND term LIKE '%es' THEN left(term, length(term) - 2)
-    WHEN length(term) > 5 AND term LIKE '%s' THEN left(term, length(term) - 1) ELSE term END AS stem FROM t""")
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.whole_words(F.col("text")))).alias("term")).distinct()
+
+
+_TERMS = f"SELECT DISTINCT unnest({sql_whole_words('text')}) AS term FROM documents"
+
+
+@query(f"SELECT term, {sql_stem('term')} AS stem FROM ({_TERMS})")
 def token_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    return words.select("term", T.stem(F.col("term")).alias("stem"))
+    return _vocabulary(spark, sf_dir).select("term", T.stem(F.col("term")).alias("stem"))
+
+
+@query(f"""SELECT term, term AS variant FROM ({_TERMS}) UNION
+SELECT term, CASE WHEN term LIKE '%s' OR term LIKE '%x' THEN left(term, length(term) - 1) ELSE term || 's' END FROM ({_TERMS}) WHERE length(term) >= 5 UNION
+SELECT term, term || 's' FROM ({_TERMS}) WHERE length(term) >= 5 AND term NOT LIKE '%s'""")
+def token_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir).select("term", F.explode(T.variants(F.col("term"))).alias("variant"))
+
+
+@query("""SELECT c_custkey, CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: xor(h, b) * 16777619 % 4294967296) AS BIGINT) AS fnv FROM customer""")
+def fnv_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rotation key of each customer's name."""
+    return table(spark, sf_dir, "customer").select("c_custkey", T.fnv1a(F.col("c_name")).alias("fnv"))
 
 
 _SENTENCES = f"list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: {sql_compact('s')}), lambda s: length(s) >= 12)"
@@ -103,11 +111,11 @@ def exact_quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT term FROM (SELECT DISTINCT doc_id, unnest({sql_words('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 10 AND length(term) >= 5)
-SELECT x.term AS a, y.term AS b FROM t x JOIN t y ON x.term < y.term AND abs(length(x.term) - length(y.term)) <= 1 AND damerau_levenshtein(x.term, y.term) = 1""")
+WITH t AS (SELECT DISTINCT unnest({sql_words('text')}) AS term FROM documents),
+k AS (SELECT DISTINCT term, unnest(list_append(list_transform(range(length(term)), lambda i: left(term, i) || substr(term, i + 2)), term)) AS key FROM t WHERE length(term) >= 5)
+SELECT DISTINCT x.term AS a, y.term AS b FROM k x JOIN k y USING (key) WHERE x.term < y.term AND damerau_levenshtein(x.term, y.term) = 1""")
 def fuzzy_token_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = terms.document_frequency(terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "doc_id")
-    return terms.fuzzy_pairs(df.where("df >= 10"))
+    return terms.fuzzy_pairs(table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")))
 
 
 _CANONICAL = """

@@ -30,10 +30,15 @@ def events_promotable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", "event_type", F.from_json("props", "k bigint").k.alias("k"))
 
 
-@query(f"SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= {_HALF} AND NOT EXISTS (SELECT 1 FROM events o WHERE o.ts < {_HALF} AND o.user_id = e.user_id AND o.event_type = e.event_type)")
+_DAYS = "SELECT DISTINCT CAST(ts AS DATE) AS day, user_id, event_type FROM events"
+
+
+@query(f"WITH d AS ({_DAYS}) SELECT day, user_id, event_type FROM d EXCEPT SELECT CAST(day + 1 AS DATE), user_id, event_type FROM d")
 def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return M.append_absent(e.where(F.col("ts") < _half()), e.where(F.col("ts") >= _half()), ["user_id", "event_type"]).select("user_id", "event_type")
+    """What each day's log adds to that of the day before."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "user_id", "event_type")
+    before = days.select(F.date_add("day", 1).alias("day"), "user_id", "event_type")
+    return M.append_absent(before, days, ["day", "user_id", "event_type"])
 
 
 @query("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -30,13 +30,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Without the setting a folder under
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Without the setting a folder under
     /tmp/checkpoints is taken, but only where all executors are in this process: on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    return (base or "file:///tmp/checkpoints").rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below shared_base."""
+    return f"{shared_base(spark)}/attestor-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ def test_closure_and_history(spark):
 def test_retrieval_refuses_unknown_qualifiers(spark):
     docs = spark.createDataFrame([(k, f"retraite pension cotisation mesure{k} logement") for k in range(6)], "doc_id long, text string")
     questions = spark.createDataFrame([(1, "retraite pension"), (2, "retraite martienne"), (3, "")], "item_id long, text string")
-    index = R.build_index(docs, stop_words=0)
-    asked = R.question_terms(questions, index.stop)
+    index = R.build_index(docs)
+    asked = R.question_terms(questions)
     assert dict(rows(R.diagnostics(questions, asked, index, R.bm25(index, asked)), "item_id")) == {1: "answerable", 2: "unknown_qualifier", 3: "empty"}
 
 
