@@ -155,9 +155,9 @@ def number_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.size("q") == 0) | (shared >= 1)).select("item_id", "doc_id", shared.alias("shared"))
 
 
-@query(_WITH + """, top1 AS (SELECT item_id, r.doc_id, d.source, d.text FROM ranked r JOIN documents d USING (doc_id) WHERE rank = 1),
-tt AS (SELECT item_id, source, term FROM top1 JOIN tf USING (doc_id)),
-held AS (SELECT source, term, doc_id FROM tf JOIN documents USING (doc_id)),
+@query(_WITH + """, top1 AS MATERIALIZED (SELECT item_id, r.doc_id, d.source, d.text FROM ranked r JOIN documents d USING (doc_id) WHERE rank = 1),
+tt AS MATERIALIZED (SELECT item_id, source, term FROM top1 JOIN tf USING (doc_id)),
+held AS MATERIALIZED (SELECT source, term, doc_id FROM tf JOIN documents USING (doc_id)),
 x AS (SELECT item_id, doc_id, count(*) AS shared FROM tt JOIN held USING (source, term) GROUP BY ALL)
 SELECT item_id, doc_id, shared FROM x WHERE shared >= 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) <= 5""")
 def evidence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
