@@ -63,13 +63,14 @@ def failure_streaks(log: DataFrame, persistent: int = 4) -> DataFrame:
 
 def first_seen(observations: DataFrame) -> DataFrame:
     """Streaming discovery over (owner, item, seq): items that an owner shows for the first time after its first
-    micro-batch, which only seeds. State: the items of an owner as digests."""
+    micro-batch, which only seeds. State: one key for each item of an owner, and one flag for each owner, so no row of the
+    state grows. Of several sightings of a new item in one micro-batch any one gives the seq."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seeded, known = state.exists, set(state.get[0]) if state.exists else set()
-        rows = pd.concat(list(frames)).sort_values("seq").drop_duplicates("item")
-        new = rows[~rows["item"].isin(known)]
-        state.update((sorted(known | set(rows["item"])),))
-        yield new.assign(owner=key[0])[["owner", "item", "seq"]] if seeded else new.head(0).assign(owner="")[["owner", "item", "seq"]]
+    def after_seed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seeded = state.exists
+        state.update((True,))
+        for frame in frames:
+            yield frame[["owner", "item", "seq"]] if seeded else frame.head(0)[["owner", "item", "seq"]]
 
-    return observations.groupBy("owner").applyInPandasWithState(step, "owner string, item string, seq long", "items array<string>", "append", GroupStateTimeout.NoTimeout)
+    fresh = observations.select("owner", "item", "seq").dropDuplicates(["owner", "item"])
+    return fresh.groupBy("owner").applyInPandasWithState(after_seed, "owner string, item string, seq long", "seeded boolean", "append", GroupStateTimeout.NoTimeout)

@@ -39,8 +39,9 @@ def test_streaks_and_first_seen(spark, tmp_path):
     assert got == [("u", 2, 2, False), ("u", 4, 4, True), ("u", 5, 0, False)]
     seen = tmp_path / "seen"
     seen.mkdir()
-    frames = [[("f", "a", 1)], [("f", "a", 2), ("f", "b", 3)]]
-    assert run(watch.first_seen(parts(seen, frames, "owner string, item string, seq long", spark)), "first") == [("f", "b", 3)]
+    frames = [[("f", "a", 1), ("f", "z", 1)], [("f", "a", 2), ("f", "b", 3), ("g", "b", 3)], [("f", "b", 4), ("g", "b", 4), ("g", "c", 5), ("f", "z", 5)]]
+    found = run(watch.first_seen(parts(seen, frames, "owner string, item string, seq long", spark)), "first")
+    assert sorted(found) == [("f", "b", 3), ("g", "c", 5)]
 
 
 def test_windows_batch_equals_stream(spark, tmp_path):
