@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe_codec, chat_format, mixing, near_dup, quality_cnn, quality_rules, token_counts, topk, toxicity, url_filter
+from attestor.llm import bpe_codec, chat_format, mixing, near_dup, periodic, quality_cnn, quality_rules, token_counts, topk, toxicity, turn_repair, url_filter
 from attestor.llm.common import table
 
 
@@ -57,6 +57,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=4, held_out=2)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minmax_near_dup": op9_minmax_near_dup,
     "op10_toxicity": op10_toxicity,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
