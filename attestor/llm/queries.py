@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe_codec, chat_format, mixing, near_dup, periodic, quality_cnn, quality_rules, token_counts, topk, toxicity, turn_repair, url_filter
+from attestor.llm import bpe_codec, chat_format, mixing, near_dup, ngram_join, periodic, quality_cnn, quality_rules, token_counts, topk, toxicity, turn_repair, url_filter
 from attestor.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=4, held_out=2)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), size=4, threshold=85)
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minmax_near_dup": op9_minmax_near_dup,
     "op10_toxicity": op10_toxicity,
+    "op11_ngram_join": op11_ngram_join,
     "op12_turn_repair": op12_turn_repair,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
