@@ -5,61 +5,88 @@ written once and read by every query over the same files."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.operators import terms
-from attestor.session import shared_base, shared_folder, spread, written
+from attestor.session import shared_base, spread, written
+
+
+#: The free parameters of BM25: saturation of term counts, and how far lengths count.
+K1, B = 1.2, 0.72
 
 
 @dataclass(frozen=True)
 class Index:
-    """Term counts, df, and lengths of a corpus."""
+    """Term counts, df, and lengths of a corpus. impact: the saturated term count, to be multiplied by idf; peak: its largest value
+    for a term, so idf * peak is the most that the term adds to any text's score."""
 
-    terms: DataFrame  # doc_id, term, tf
-    df: DataFrame  # term, df
+    terms: DataFrame  # doc_id, term, tf, impact
+    df: DataFrame  # term, df, peak
     lengths: DataFrame  # doc_id, length
 
 
-def _parts(docs: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    return {
-        "terms": lambda _: terms.term_counts(spread(docs.select("doc_id", "text")), "doc_id", F.col("text")),
-        "df": lambda counts: terms.document_frequency(counts, "doc_id"),
-        "lengths": lambda counts: counts.groupBy("doc_id").agg(F.sum("tf").alias("length")),
-    }
+def _with_impact(counts: DataFrame, lengths: DataFrame) -> DataFrame:
+    mean = lengths.agg(F.avg("length")).scalar()
+    rows = counts.join(lengths, "doc_id").withColumn("mean", mean)
+    return rows.select("doc_id", "term", "tf", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("impact"))
+
+
+def _built(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Index:
+    """Texts are cut into terms once; the counts are kept, and all statistics read them from there."""
+    counts = keep(terms.term_counts(spread(docs.select("doc_id", "text")), "doc_id", F.col("text")), "counts")
+    lengths = keep(counts.groupBy("doc_id").agg(F.sum("tf").alias("length")), "lengths")
+    postings = keep(_with_impact(counts, lengths), "terms")
+    return Index(postings, keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("peak")), "df"), lengths)
 
 
 def build_index(docs: DataFrame) -> Index:
-    """Texts are cut into terms once; the counts are written, and all statistics read them from there."""
-    parts = _parts(docs)
-    counts = written(parts["terms"](docs))
-    return Index(counts, parts["df"](counts), parts["lengths"](counts))
+    return _built(docs, lambda df, _: written(df))
 
 
-#: Part of an index's name; to be raised when tokens change.
-INDEX_VERSION = 1
+def _rules() -> str:
+    """A digest of everything that decides an index's content: how words are cut and what impact is made of."""
+    cut = re.sub(r"_\d+", "", str(T.words(F.col("text"))))  # without the numbers of lambda variables
+    return hashlib.sha256(f"{cut} {K1} {B}".encode()).hexdigest()[:16]
 
 
 def kept_index(docs: DataFrame) -> Index:
     """The index of a table of files, from the shared folder if there is one of the same files (path, size and time of
-    change) already; otherwise it is built and kept. A build that fails leaves nothing behind that is taken for an index."""
+    change) and the same rules already; otherwise it is built and kept. Each build has its own folder and is ready when
+    its mark is written, so builds at the same time don't meet; one that fails is removed. What isn't made of files gets
+    an index of its own."""
     spark = docs.sparkSession
-    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    version = docs.select(file.alias("f")).distinct().agg(F.coalesce(F.bit_xor("f"), F.lit(0)).alias("x"), F.count(F.lit(1)).alias("n")).first()
-    path = f"{shared_base(spark)}/attestor-index-{INDEX_VERSION}-{version.n}-{version.x & (1 << 64) - 1:016x}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        draft = shared_folder(spark)
-        for name, part in _parts(docs).items():
-            part(None if name == "terms" else spark.read.parquet(f"{draft}/terms")).write.parquet(f"{draft}/{name}")
-        if not files.exists(place):  # another session may have built it meanwhile
-            files.rename(jvm.org.apache.hadoop.fs.Path(draft), place)
+    try:
+        file = docs.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f"))
+    except AnalysisException:
+        return build_index(docs)
+    version = file.distinct().agg(F.coalesce(F.bit_xor("f"), F.lit(0)).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    base = f"{shared_base(spark)}/attestor-index-{_rules()}-{version.n}-{version.x & (1 << 64) - 1:016x}"
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = to_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    builds = [s.getPath() for s in files.listStatus(to_path(base))] if files.exists(to_path(base)) else []
+    ready = sorted(p.toString() for p in builds if files.exists(to_path(p, "_ready")))
+    path = ready[0] if ready else f"{base}/{uuid.uuid4().hex}"
+    if not ready:
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        try:
+            _built(docs, keep)
+            files.create(to_path(path, "_ready")).close()
+        except BaseException:
+            files.delete(to_path(path), True)
+            raise
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("terms", "df", "lengths")))
 
 
@@ -68,14 +95,62 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term"))
 
 
-def bm25(index: Index, asked: DataFrame, k1: float = 1.2, b: float = 0.72) -> DataFrame:
-    """(item_id, doc_id, score, hits): the sum over shared terms of idf and saturated term frequency."""
-    texts, mean = index.lengths.agg(F.count(F.lit(1))).scalar(), index.lengths.agg(F.avg("length")).scalar()
+def weighed(index: Index, asked: DataFrame) -> DataFrame:
+    """(item_id, term, df, idf, ceiling) of the asked terms that some text has."""
+    texts = index.lengths.agg(F.count(F.lit(1))).scalar()
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighted = asked.join(index.df, "term").withColumns({"n": texts, "mean": mean})
-    found = weighted.join(index.terms, "term").join(index.lengths, "doc_id")
-    return found.groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count(F.lit(1)).alias("hits"))
+    return asked.join(index.df, "term").withColumn("n", texts).withColumn("idf", idf).select("item_id", "term", "df", "idf", (F.col("idf") * F.col("peak")).alias("ceiling"))
+
+
+def _summed(weights: DataFrame, postings: DataFrame, *on: str) -> DataFrame:
+    found = weights.join(postings, list(on))
+    return found.groupBy("item_id", "doc_id").agg(F.sum(F.col("idf") * F.col("impact")).alias("score"), F.count(F.lit(1)).alias("hits"))
+
+
+def bm25(index: Index, asked: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score, hits): the sum over shared terms of idf and saturated term frequency, for every text that shares one."""
+    return _summed(weighed(index, asked), index.terms, "term").withColumn("score", F.round("score", 6))
+
+
+#: Postings of a question's rarest terms from which its first threshold is taken.
+SEED_POSTINGS = 400
+#: Scores are compared after rounding to six places, so a bound must fall short by more than that.
+SLACK = 1e-5
+
+
+def contenders(index: Index, asked: DataFrame, k: int = 1, share: float = 1.0) -> DataFrame:
+    """As bm25, but only texts that can reach `share` times their question's k-th best score; all that do are there.
+
+    The rarest terms of a question give some texts a part of their score; `share` of the k-th best part is a threshold.
+    A question's terms of the least ceilings whose sum stays below it are optional: a text that has only those can't
+    reach it. So the postings of the other terms, the needed ones, name all texts in question; those that even with the ceilings of all
+    optional terms stay below (the threshold rises with the needed parts) are left out, and only for the rest the optional terms
+    are looked up. Frequent words have low ceilings, so their long postings aren't joined with questions at all."""
+    weights = written(weighed(index, asked))
+    rising = Window.partitionBy("item_id").orderBy("df", "term")
+    seeds = weights.withColumn("so_far", F.sum("df").over(rising)).withColumn("place", F.row_number().over(rising)).where((F.col("place") == 1) | (F.col("so_far") <= SEED_POSTINGS))
+    kth = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+
+    def threshold(parts: DataFrame, name: str) -> DataFrame:
+        return parts.withColumn("place", F.row_number().over(kth)).where(F.col("place") == k).select("item_id", (share * F.col("score") - SLACK).alias(name))
+
+    first = threshold(_summed(seeds, index.terms, "term"), "least")
+    low = Window.partitionBy("item_id").orderBy("ceiling", "term").rowsBetween(Window.unboundedPreceding, 0)
+    split = weights.join(first, "item_id", "left").withColumn("optional", F.coalesce(F.sum("ceiling").over(low) < F.col("least"), F.lit(False)))
+    split = written(split)
+    most = split.groupBy("item_id").agg(F.sum(F.when(F.col("optional"), F.col("ceiling")).otherwise(0.0)).alias("more"))
+    parts = written(_summed(split.where("not optional"), index.terms, "term"))
+    bounded = parts.join(most, "item_id").join(threshold(parts, "second"), "item_id", "left").join(first, "item_id", "left")
+    open_ = bounded.where(F.col("score") + F.col("more") >= F.coalesce(F.greatest("least", "second"), F.lit(float("-inf")))).select("item_id", "doc_id", "score", "hits")
+    wanted = open_.select("item_id", "doc_id").join(split.where("optional").select("item_id", "term", "idf"), "item_id")
+    rest = _summed(wanted, index.terms, "doc_id", "term").select("item_id", "doc_id", F.col("score").alias("rest"), F.col("hits").alias("others"))
+    whole = open_.join(rest, ["item_id", "doc_id"], "left")
+    return whole.select("item_id", "doc_id", F.round(F.col("score") + F.coalesce("rest", F.lit(0.0)), 6).alias("score"), (F.col("hits") + F.coalesce("others", F.lit(0))).alias("hits"))
+
+
+def best(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """The k best texts of each question with their rank: top(bm25(...), k) without scoring most texts."""
+    return top(contenders(index, asked, k), k)
 
 
 def rarity(index: Index, asked: DataFrame) -> DataFrame:

@@ -57,13 +57,13 @@ def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WITH + "SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score, hits FROM ranked WHERE rank <= 5")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, index, asked = _parts(spark, sf_dir)
-    return R.top(R.bm25(index, asked), 5)
+    return R.best(index, asked, 5)
 
 
 @query(_WITH + "SELECT item_id, doc_id, score FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM scored) WHERE score >= 0.4 * best")
 def score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, index, asked = _parts(spark, sf_dir)
-    return R.above_floor(R.bm25(index, asked), 0.4).select("item_id", "doc_id", "score")
+    return R.above_floor(R.contenders(index, asked, 1, 0.4), 0.4).select("item_id", "doc_id", "score")
 
 
 @query(_WITH + "SELECT item_id, doc_id, score, hits FROM scored JOIN need USING (item_id) WHERE hits >= least")
@@ -125,7 +125,7 @@ def unknown_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qualifier_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question terms that none of the five best texts holds."""
     _, _, index, asked = _parts(spark, sf_dir)
-    seen = R.top(R.bm25(index, asked), 5).select("item_id", "doc_id").join(index.terms, "doc_id").select("item_id", "term")
+    seen = R.best(index, asked, 5).select("item_id", "doc_id").join(index.terms, "doc_id").select("item_id", "term")
     return asked.where(F.length("term") >= 4).join(seen, ["item_id", "term"], "left_anti")
 
 
@@ -138,7 +138,7 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, questions, index, asked = _parts(spark, sf_dir)
     truth = terms.phrase_pairs(docs, questions, "doc_id", "item_id")
     variant = truth.join(docs.select("doc_id", "lang"), "doc_id").groupBy("item_id").agg(F.min("lang").alias("variant"))
-    return R.ranking_metrics(R.top(R.bm25(index, asked), 10), truth, questions, variant)
+    return R.ranking_metrics(R.best(index, asked, 10), truth, questions, variant)
 
 
 _SENTENCES = "list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 18)"
@@ -151,7 +151,7 @@ s3 AS (SELECT item_id, doc_id, rank, pos, sentence, round(3 * count(*) - 0.03 *
 SELECT item_id, CAST(place AS INTEGER) AS place, doc_id, pos, sentence, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, doc_id, pos) AS place FROM s3) WHERE place <= 6""")
 def extractive_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, index, asked = _parts(spark, sf_dir)
-    return R.extract_sentences(R.top(R.bm25(index, asked), 5), docs, asked)
+    return R.extract_sentences(R.best(index, asked, 5), docs, asked)
 
 
 @query(_WITH + """, e AS (SELECT DISTINCT item_id, source FROM ranked JOIN documents USING (doc_id) WHERE rank <= 1)
@@ -161,7 +161,7 @@ def missing_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     its answer is drawn from the best text."""
     docs, questions, index, asked = _parts(spark, sf_dir)
     sources = docs.select("doc_id", "source")
-    evidence = R.top(R.bm25(index, asked), 1).join(sources, "doc_id").select("item_id", "source")
+    evidence = R.best(index, asked, 1).join(sources, "doc_id").select("item_id", "source")
     requested = terms.phrase_pairs(docs, questions, "doc_id", "item_id").join(sources, "doc_id").select("item_id", "source").distinct()
     return requested.join(evidence, ["item_id", "source"], "left_anti")
 
@@ -170,7 +170,7 @@ def missing_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10 GROUP BY item_id, source""")
 def group_by_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, index, asked = _parts(spark, sf_dir)
-    rows = R.top(R.bm25(index, asked), 10).join(docs.select("doc_id", "source"), "doc_id")
+    rows = R.best(index, asked, 10).join(docs.select("doc_id", "source"), "doc_id")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x.doc_id.cast("string"))
     return rows.groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("texts"), F.array_join(ids, ",").alias("doc_ids"), F.max("score").alias("best"))
 
@@ -198,7 +198,7 @@ SELECT item_id, CAST(place AS INTEGER) AS place, doc_id, pos, sentence, CAST(sco
 def extractive_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The looser profile: ten texts, ten sentences, and whether a sentence gives a number."""
     docs, _, index, asked = _parts(spark, sf_dir)
-    rows = R.extract_sentences(R.top(R.bm25(index, asked), 10), docs, asked, 10)
+    rows = R.extract_sentences(R.best(index, asked, 10), docs, asked, 10)
     return rows.withColumn("detail", F.col("sentence").rlike("[0-9]"))
 
 
@@ -206,4 +206,4 @@ def extractive_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neardup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted sentences without those near a better one."""
     docs, _, index, asked = _parts(spark, sf_dir)
-    return R.without_near_sentences(R.extract_sentences(R.top(R.bm25(index, asked), 10), docs, asked, 20), 6)
+    return R.without_near_sentences(R.extract_sentences(R.best(index, asked, 10), docs, asked, 20), 6)
