@@ -112,8 +112,10 @@ def bm25(index: Index, asked: DataFrame) -> DataFrame:
     return _summed(weighed(index, asked), index.terms, "term").withColumn("score", F.round("score", 6))
 
 
-#: Postings of a question's rarest terms from which its first threshold is taken.
-SEED_POSTINGS = 400
+#: A question's rarest terms, until they have so many postings, name its leaders; so many times k of them are scored whole for the threshold.
+SEED_POSTINGS, LEADERS = 50, 4
+#: What optional terms may add at most, as a share of the threshold: less makes more terms needed, but leaves fewer texts to look up.
+OPTIONAL = 0.5
 #: Scores are compared after rounding to six places, so a bound must fall short by more than that.
 SLACK = 1e-5
 
@@ -121,31 +123,35 @@ SLACK = 1e-5
 def contenders(index: Index, asked: DataFrame, k: int = 1, share: float = 1.0) -> DataFrame:
     """As bm25, but only texts that can reach `share` times their question's k-th best score; all that do are there.
 
-    The rarest terms of a question give some texts a part of their score; `share` of the k-th best part is a threshold.
-    A question's terms of the least ceilings whose sum stays below it are optional: a text that has only those can't
-    reach it. So the postings of the other terms, the needed ones, name all texts in question; those that even with the ceilings of all
-    optional terms stay below (the threshold rises with the needed parts) are left out, and only for the rest the optional terms
-    are looked up. Frequent words have low ceilings, so their long postings aren't joined with questions at all."""
-    weights = written(weighed(index, asked))
+    The rarest terms of a question name some texts. The best of these are scored whole, and `share` of the k-th best is a
+    threshold. A question's terms of the least ceilings whose sum stays below it are optional: a text that has only those
+    can't reach it. So the postings of the other terms, the needed ones, name all texts in question; those that even with
+    the ceilings of all optional terms stay below the threshold are left out, and only for the rest the optional terms are
+    looked up. Frequent words have low ceilings, so their long postings are never joined with questions."""
+    weights = weighed(index, asked)
     rising = Window.partitionBy("item_id").orderBy("df", "term")
-    seeds = weights.withColumn("so_far", F.sum("df").over(rising)).withColumn("place", F.row_number().over(rising)).where((F.col("place") == 1) | (F.col("so_far") <= SEED_POSTINGS))
-    kth = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-
-    def threshold(parts: DataFrame, name: str) -> DataFrame:
-        return parts.withColumn("place", F.row_number().over(kth)).where(F.col("place") == k).select("item_id", (share * F.col("score") - SLACK).alias(name))
-
-    first = threshold(_summed(seeds, index.terms, "term"), "least")
+    weights = weights.withColumn("so_far", F.sum("df").over(rising)).withColumn("place", F.row_number().over(rising))
+    weights = written(weights.select("item_id", "term", "idf", "ceiling", (F.col("so_far") - F.col("df") < SEED_POSTINGS).alias("seed")))
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+
+    def whole(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """rows with the terms of `others` looked up in their texts."""
+        # written, so that Spark knows its size: while that is small it goes to the postings, else both are shuffled
+        wanted = written(rows.select("item_id", "doc_id").join(others.select("item_id", "term", "idf"), "item_id"))
+        rest = _summed(wanted, index.terms, "doc_id", "term").select("item_id", "doc_id", F.col("score").alias("rest"), F.col("hits").alias("others"))
+        found = rows.join(rest, ["item_id", "doc_id"], "left")
+        return found.select("item_id", "doc_id", (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"), (F.col("hits") + F.coalesce("others", F.lit(0))).alias("hits"))
+
+    place = F.row_number().over(order)
+    leaders = written(_summed(weights.where("seed"), index.terms, "term").withColumn("place", place).where(F.col("place") <= LEADERS * k).drop("place"))
+    least = whole(leaders, weights.where("not seed")).withColumn("place", place).where(F.col("place") == k).select("item_id", (share * F.col("score") - SLACK).alias("least"))
     low = Window.partitionBy("item_id").orderBy("ceiling", "term").rowsBetween(Window.unboundedPreceding, 0)
-    split = weights.join(first, "item_id", "left").withColumn("optional", F.coalesce(F.sum("ceiling").over(low) < F.col("least"), F.lit(False)))
-    split = written(split)
-    most = split.groupBy("item_id").agg(F.sum(F.when(F.col("optional"), F.col("ceiling")).otherwise(0.0)).alias("more"))
-    parts = written(_summed(split.where("not optional"), index.terms, "term"))
-    bounded = parts.join(most, "item_id").join(threshold(parts, "second"), "item_id", "left").join(first, "item_id", "left")
-    open_ = bounded.where(F.col("score") + F.col("more") >= F.coalesce(F.greatest("least", "second"), F.lit(float("-inf")))).select("item_id", "doc_id", "score", "hits")
-    wanted = open_.select("item_id", "doc_id").join(split.where("optional").select("item_id", "term", "idf"), "item_id")
-    rest = _summed(wanted, index.terms, "doc_id", "term").select("item_id", "doc_id", F.col("score").alias("rest"), F.col("hits").alias("others"))
-    whole = open_.join(rest, ["item_id", "doc_id"], "left")
-    return whole.select("item_id", "doc_id", F.round(F.col("score") + F.coalesce("rest", F.lit(0.0)), 6).alias("score"), (F.col("hits") + F.coalesce("others", F.lit(0))).alias("hits"))
+    split = written(weights.join(least, "item_id", "left").withColumn("optional", F.coalesce(F.sum("ceiling").over(low) < OPTIONAL * F.col("least"), F.lit(False))))
+    more = F.sum(F.when(F.col("optional"), F.col("ceiling")).otherwise(0.0))
+    bounds = split.groupBy("item_id").agg((F.first("least") - more).alias("part"))
+    parts = _summed(split.where("not optional"), index.terms, "term").join(bounds, "item_id")
+    open_ = written(parts.where(F.col("part").isNull() | (F.col("score") >= F.col("part"))).drop("part"))
+    return whole(open_, split.where("optional")).withColumn("score", F.round("score", 6))
 
 
 def best(index: Index, asked: DataFrame, k: int) -> DataFrame:
