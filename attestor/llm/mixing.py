@@ -4,15 +4,16 @@
    posterior over the domains, in steps of 1 / STEPS that add up to 1.
 2. With w_i the share of all tokens that document i holds and p_i its posterior, a nonnegative rate r_i for each
    document is fitted by least squares: the expected token shares s = sum w_i r_i p_i shall meet the targets t,
-       minimise  1/2 sum_d (s_d - t_d)^2 / t_d  +  RIDGE/2 sum_i w_i (r_i - 1)^2,   r >= 0.
+       minimise  1/2 sum_d (s_d - t_d)^2 / v_d  +  RIDGE/2 sum_i w_i (r_i - 1)^2,   r >= 0,
+   with v_d = t_d, or LEAST_TARGET where the target is smaller (or 0, a domain that shall have no tokens).
    This is done by projected gradient steps that are scaled by the second derivatives (projected Newton): the rates go
    along the scaled gradient and are projected on r >= 0. After any such step the rates are max(0, 1 - p_i . c / RIDGE)
-   for one residual c_d per domain, c = (s - t) / t at the optimum, so a vector over the domains is all the state. The
+   for one residual c_d per domain, c = (s - t) / v at the optimum, so a vector over the domains is all the state. The
    steps are halved until they descend on the convex function of c whose minimum is the optimum,
-       RIDGE/2 sum_i w_i r_i(c)^2 + sum_d t_d (c_d + c_d^2 / 2).
+       RIDGE/2 sum_i w_i r_i(c)^2 + sum_d (t_d c_d + v_d c_d^2 / 2).
    Each step is one Spark aggregation over the distinct posteriors with their tokens; nothing but a vector and a matrix
    over the domains reaches the driver. The steps end when every share meets its optimum within TOLERANCE of its target;
-   if they can't get there, it is an error.
+   if they can't get there, in MOST_ROUNDS or at all, it is an error. So are negative targets and targets that are all 0.
 3. `mixed` repeats each document floor(rate + u) times, u in [0, 1) from a hash of its id: expected totals follow the
    rates, and the same input gives the same result.
 
@@ -37,7 +38,7 @@ from attestor.llm.common import map_arrow, materialize, shared_dir
 from attestor.llm.labelled import labelled_sample
 
 BUCKETS, STEPS, TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 2048, 64, 3000, 20_000, 60
-RIDGE, TOLERANCE = 1e-3, 1e-7
+RIDGE, TOLERANCE, LEAST_TARGET, MOST_ROUNDS = 1e-3, 1e-7, 1e-3, 200
 
 
 def features(text: str | None) -> np.ndarray:
@@ -122,6 +123,7 @@ def fit_rates(cells: DataFrame, targets: np.ndarray) -> np.ndarray:
     total = cells.agg(F.sum("tokens").alias("t")).first().t
     if not total:
         return np.zeros(width)
+    scale = np.maximum(targets, LEAST_TARGET)
     share = F.col("tokens") / F.lit(float(total))
 
     def measured(c: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -133,12 +135,14 @@ def fit_rates(cells: DataFrame, targets: np.ndarray) -> np.ndarray:
             *[F.sum(F.when(F.col("r") > 0, F.col("w") * p[a] * p[b]).otherwise(0.0)) for a in range(width) for b in range(width)],
         ).first()
         numbers = np.array(list(found))
-        value = RIDGE / 2 * numbers[0] + float((targets * (c + c * c / 2)).sum())
-        return value, targets * (1 + c) - numbers[1 : width + 1], numbers[width + 1 :].reshape(width, width) / RIDGE + np.diag(targets)
+        value = RIDGE / 2 * numbers[0] + float((targets * c + scale * c * c / 2).sum())
+        return value, targets + scale * c - numbers[1 : width + 1], numbers[width + 1 :].reshape(width, width) / RIDGE + np.diag(scale)
 
     c = np.zeros(width)
     value, gradient, second = measured(c)
-    while (np.abs(gradient) / targets).max() > TOLERANCE:
+    for _ in range(MOST_ROUNDS):
+        if (np.abs(gradient) / scale).max() <= TOLERANCE:
+            return c
         way, size = np.linalg.solve(second, -gradient), 1.0
         slope = float(gradient @ way)
         while True:
@@ -147,17 +151,21 @@ def fit_rates(cells: DataFrame, targets: np.ndarray) -> np.ndarray:
             if new[0] <= value + 1e-4 * size * slope or np.abs(new[1]).max() < 0.5 * np.abs(gradient).max():
                 break
             size /= 2
-            if size < 1e-9:
-                raise ArithmeticError(f"mixing: the rates don't converge; gradient {gradient.tolist()} at residuals {c.tolist()}")
+            if not size > 1e-9:
+                break
+        if not (size > 1e-9 and np.isfinite(new[0])):
+            break
         c = c + size * way
         value, gradient, second = new
-    return c
+    raise ArithmeticError(f"mixing: the rates don't converge; gradient {gradient.tolist()} at residuals {c.tolist()}")
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (doc_id if not given) with n_tokens, posterior, rate and copies."""
     domains = list(targets)
     weights = np.array([targets[d] for d in domains], float)
+    if not (weights >= 0).all() or not weights.sum() > 0:
+        raise ValueError(f"mixing: targets must be 0 or more, and not all 0: {targets}")
     classifier = fit(docs, labelled, domains)
     folder = shared_dir(docs.sparkSession)
     rows = with_posteriors(docs.select(*(keep or ["doc_id"]), *([] if keep and "text" in keep else ["text"])), classifier, "__tokens", "__posterior")
