@@ -166,7 +166,7 @@ _ATTRIBUTES = ["doc_id", "entity", "kind", "status", "confidence", "tier", "sour
 
 
 def term_profile(index: FieldIndex, asked: Asked, retrieval_terms: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score, direct, concepts, entity_match, numbers, and the record's attributes) of all records that
+    """(item_id, doc_id, score, direct, concepts (how many) and their names, entity_match, numbers, and the record's attributes) of all records that
     share a term with a question.
 
     2.7 times BM25 and the weights of the fields for each subject; 5.5 and 0.8 times the four best BM25 values (7 at most)
@@ -200,13 +200,14 @@ def term_profile(index: FieldIndex, asked: Asked, retrieval_terms: DataFrame, an
         fits = (F.size(four) > 0) & (~c["anchored"] | F.exists(own, lambda f: f["anchor"]))
         return F.when(fits, 5.5 + F.least(F.lit(7.0), 0.8 * F.aggregate(four, F.lit(0.0), lambda a, x: a + x)))
 
-    values = F.array_compact(F.transform(F.coalesce("asked", F.array()), value))
+    none = F.array().cast("array<struct<concept:string,anchored:boolean>>")
+    values = F.filter(F.transform(F.coalesce("asked", none), lambda c: F.struct(c["concept"].alias("concept"), value(c).alias("value"))), lambda v: v["value"].isNotNull())
     rows = rows.withColumn("values", values).drop("found", "asked")
     requested = asked.entities.select("item_id", "entity", F.lit(True).alias("entity_match"))
     joined = rows.join(index.records.select(_ATTRIBUTES), "doc_id").join(asked.intents, "item_id").join(requested, ["item_id", "entity"], "left")
     matched = F.coalesce("entity_match", F.lit(False))
-    score = F.col("subject_score") + F.aggregate("values", F.lit(0.0), lambda a, x: a + x) + F.when(matched, 18.0).otherwise(0.0) + 7.0 * F.col("numbers") + _bonus(joined, TERM_BONUS)
-    return joined.select("item_id", "doc_id", F.round(score, 6).alias("score"), "direct", F.size("values").alias("concepts"), matched.alias("entity_match"), "numbers", "entity", "path", "kind", "compare", "candidate_status")
+    score = F.col("subject_score") + F.aggregate("values", F.lit(0.0), lambda a, x: a + x["value"]) + F.when(matched, 18.0).otherwise(0.0) + 7.0 * F.col("numbers") + _bonus(joined, TERM_BONUS)
+    return joined.select("item_id", "doc_id", F.round(score, 6).alias("score"), "direct", F.size("values").alias("concepts"), F.transform("values", lambda v: v["concept"]).alias("named"), matched.alias("entity_match"), "numbers", "entity", "path", "kind", "compare", "candidate_status")
 
 
 def relevant(scored: DataFrame, asked: Asked, least: float = 2.2) -> DataFrame:
@@ -214,15 +215,15 @@ def relevant(scored: DataFrame, asked: Asked, least: float = 2.2) -> DataFrame:
     subject, unless an entity, a concept of several words or a misspelt one bridges it), else with enough of the subjects."""
     count = lambda rows, name: rows.groupBy("item_id").agg(F.count(F.lit(1)).alias(name))
     bridge = F.max(F.contains("alias", F.lit(" ")) | F.col("fuzzy"))
-    sizes = [count(asked.subjects, "subjects"), count(asked.entities, "requested"), count(asked.numbers, "wanted"), asked.concepts.groupBy("item_id").agg(F.count(F.lit(1)).alias("named"), bridge.alias("bridge"))]
+    sizes = [count(asked.subjects, "subjects"), count(asked.entities, "requested"), count(asked.numbers, "wanted"), asked.concepts.groupBy("item_id").agg(F.count(F.lit(1)).alias("wants_concept"), bridge.alias("bridge"))]
     rows = scored
     for size in sizes:
         rows = rows.join(size, "item_id", "left")
-    rows = rows.fillna(0, ["subjects", "requested", "wanted", "named"]).withColumn("bridge", F.coalesce("bridge", F.lit(False)) | (F.col("requested") > 0))
+    rows = rows.fillna(0, ["subjects", "requested", "wanted", "wants_concept"]).withColumn("bridge", F.coalesce("bridge", F.lit(False)) | (F.col("requested") > 0))
     numbers = (F.col("wanted") == 0) | (F.col("numbers") >= 1)
     by_concept = (F.col("concepts") > 0) & ((F.col("subjects") == 0) | (F.col("direct") > 0) | F.col("bridge"))
     by_subject = F.when(F.col("subjects") > 0, F.col("direct") >= least_hits(F.col("subjects"))).otherwise(F.col("candidate_status") & (F.col("kind") == "candidate_status"))
-    fits = (F.col("score") >= least) & ((F.col("requested") == 0) | F.col("entity_match")) & numbers & F.when(F.col("named") > 0, by_concept).otherwise(by_subject)
+    fits = (F.col("score") >= least) & ((F.col("requested") == 0) | F.col("entity_match")) & numbers & F.when(F.col("wants_concept") > 0, by_concept).otherwise(by_subject)
     return rows.where(fits).select(scored.columns)
 
 

@@ -3,15 +3,17 @@ attestor.streaming has the incremental forms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.operators.ordered import Ordered
+
 
 def content_changes(snapshots: DataFrame, key: str, order: str, digest: str, valid: Column) -> DataFrame:
     """Snapshots whose digest differs from the last valid one of their key. The first valid one only seeds; invalid
     ones (errors, challenge pages) neither change nor replace what is known."""
-    before = F.last(F.when(F.col("__valid"), F.col(digest)), ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = snapshots.withColumn("__valid", F.coalesce(valid, F.lit(False))).withColumn("previous", before)
+    rows = snapshots.withColumn("__valid", F.coalesce(valid, F.lit(False)))
+    rows = Ordered(rows, [key], [order]).last(F.when(F.col("__valid"), F.col(digest)), "previous").done()
     return rows.where(F.col("__valid") & F.col("previous").isNotNull() & (F.col("previous") != F.col(digest))).drop("__valid")
 
 
@@ -23,9 +25,10 @@ def first_seen(observations: DataFrame, owner: str, item: str, at: str) -> DataF
 
 
 def failure_streaks(log: DataFrame, key: str, at: str, tie: str, failed: Column, persistent: int = 4) -> DataFrame:
-    """Runs of consecutive failures of each key (gaps and islands): number, first and last failure, persistent or not."""
-    order = Window.partitionBy(key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("__f", failed).withColumn("island", F.sum(F.when(F.col("__f"), 0).otherwise(1)).over(order))
+    """Runs of consecutive failures of each key (gaps and islands): number, first and last failure, persistent or not. A
+    streak's island is the number of successes before it."""
+    rows = Ordered(log.select(key, at, tie, F.coalesce(failed, F.lit(False)).alias("__f")), [key], [at, tie])
+    rows = rows.total(F.when(F.col("__f"), 0).otherwise(1), "island").done()
     runs = rows.where("__f").groupBy(key, "island").agg(F.count(F.lit(1)).alias("failures"), F.min(at).alias("first_failure"), F.max(at).alias("last_failure"))
     return runs.withColumn("persistent", F.col("failures") >= persistent).drop("island")
 
@@ -78,18 +81,3 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def append_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `new` whose keys don't exist yet, once for each key."""
     return new.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
-
-
-def publish_windows(log: DataFrame, key: str, at: str, hours: int = 48) -> DataFrame:
-    """Pending changes are held until `hours` after the last release and go out together. The releases of a key are a
-    fold over its distinct hours (bounded by the hours of the log, not by its rows)."""
-    points = log.groupBy(key, F.date_trunc("hour", at).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    listed = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("hour", "n"))).alias("points"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.lit(0).alias("releases"), F.lit(0).cast("long").alias("held"))
-
-    def step(acc: Column, p: Column) -> Column:
-        due = acc["last"].isNull() | (p["hour"] >= acc["last"] + F.expr(f"interval {hours} hours"))
-        return F.struct(F.when(due, p["hour"]).otherwise(acc["last"]).alias("last"), (acc["releases"] + F.when(due, 1).otherwise(0)).alias("releases"), F.when(due, F.lit(0).cast("long")).otherwise(acc["held"] + p["n"]).alias("held"))
-
-    folded = listed.select(key, F.aggregate("points", start, step).alias("r"))
-    return folded.select(key, F.col("r.releases").alias("releases"), F.col("r.last").alias("last_release"), F.col("r.held").alias("held"))

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
+from attestor.operators import chain as C
 from attestor.operators import fields as P
 from attestor.plans.gate_queries import _ONTOLOGY, _ontology
 from attestor.plans.registry import Registry, _STOP, sql_norm, sql_normalize, sql_words
+from attestor.session import written
 from attestor.sources.tables import table
 
 registry = Registry()
@@ -170,7 +172,7 @@ member AS (SELECT doc_id, alias AS term FROM rec JOIN alias USING (entity)),
 hit AS MATERIALIZED (SELECT DISTINCT item_id, doc_id, term, signal, rarity, f FROM (SELECT item_id, doc_id, forms.term, signal, rarity, f FROM forms JOIN post ON post.term = form
   UNION ALL SELECT item_id, doc_id, term, signal, rarity, 'entity_label' FROM asked JOIN member USING (term))),
 sums AS (SELECT item_id, doc_id, sum(rarity * CASE f {' '.join(f"WHEN '{f}' THEN {w}" for f, w in P.RARITY_FIELDS.items())} END) AS v, count(DISTINCT term) AS matched, count(DISTINCT CASE WHEN signal THEN term END) AS hit FROM hit GROUP BY ALL),
-wording AS (SELECT item_id, {sql_norm('text')} AS wording, array_to_string(list_filter({_sql_plain('text')}, lambda t: t NOT IN ({_list(P.FILLER + P.INTENT_ONLY)})), ' ') AS in_a_row0 FROM questions),
+wording AS (SELECT item_id, {sql_norm('text')} AS wording FROM questions),
 ordered AS (SELECT item_id, string_agg(w, ' ' ORDER BY k) AS in_a_row FROM (SELECT item_id, w, min(k) AS k FROM (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS k FROM (SELECT item_id, {_sql_raw('text')} AS w FROM questions))
   WHERE (length(w) > 1 OR regexp_full_match(w, '[0-9]+')) AND w NOT IN ({_STOP}) AND w NOT IN ({_list(P.FILLER + P.INTENT_ONLY)}) GROUP BY ALL) GROUP BY item_id),
 hay AS MATERIALIZED (SELECT doc_id, {sql_norm("title || ' ' || coalesce(entity_label, '') || ' ' || section || ' ' || topics || ' ' || coalesce(text, '')")} AS hay FROM rec),
@@ -200,3 +202,24 @@ def rarity_profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight records a question at most: three of a path (one of a candidate's status), five of an entity (three where the question compares)."""
     rows = _rarity_scored(spark, sf_dir)
     return P.diversify(rows, F.when(F.col("kind") == "candidate_status", 1).otherwise(3), F.when(F.col("compare"), 3).otherwise(5), 8)
+
+
+def _world(spark: SparkSession, sf_dir: str) -> C.World:
+    """Sources below 10 stand for candidates, the others for parties; every second candidate has the party ten above it."""
+    records, ontology = _records(spark, sf_dir), _ontology(spark, sf_dir)
+    number = F.expr("try_cast(regexp_replace(entity, '[^0-9]', '') AS int)")
+    person = number < 10
+    entities = _aliases(records).select("entity", "alias", F.when(person, "candidate").otherwise("party").alias("type"), F.when(person & (number % 2 == 0), F.concat(F.lit("src"), (number + 10).cast("string"))).alias("party"))
+    cut = lambda rows: rows.select("concept", F.explode(T.tokens(F.col("alias"))).alias("term")).distinct()
+    first = ontology.where(F.contains("alias", F.lit(" "))).groupBy("concept").agg(F.min("alias").alias("alias"))
+    strict = first.select("concept", F.array(F.split("alias", " ")).alias("groups"))
+    benign = table(spark, sf_dir, "region").select(T.norm(F.col("r_name")).alias("term"))
+    return C.World(P.field_index(records), ontology, cut(first), strict, written(entities), cut(ontology).select("term").distinct(), benign)
+
+
+@query()
+def retrieve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with its reason and tries, and the evidence of those that have any."""
+    questions = _questions(spark, sf_dir).select(F.col("item_id").cast("string").alias("item_id"), "text")
+    evidence, reasons = C.retrieve(_world(spark, sf_dir), questions)
+    return reasons.join(evidence, "item_id", "left").select("item_id", "reason", "tries", "rank", "doc_id", "entity", "score", "origin")

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from attestor.functions import text as T
 from attestor.functions import urls as U
 from attestor.operators import claims as C
+from attestor.operators import context as X
+from attestor.operators import dedupe as D
 from attestor.operators import monitor as M
-from attestor.plans.registry import Registry, sql_norm, sql_words
+from attestor.operators import ordered as O
+from attestor.plans.registry import Registry, sql_norm, sql_normalize, sql_words
 from attestor.plans.text_queries import _CANONICAL, _FAMILY, _HOST
 from attestor.sources import pages as P
 from attestor.sources.tables import table
@@ -62,7 +65,7 @@ def state_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("most"))
+    return O.percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 _STREAKS = """SELECT user_id, count(*) AS failures, min(ts) AS first_failure, max(ts) AS last_failure, count(*) >= 4 AS persistent FROM
@@ -252,9 +255,14 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).drop("w")
 
 
-@query()
+@query("""WITH RECURSIVE p AS MATERIALIZED (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT user_id, min(hour) AS moment, 1 AS k FROM p GROUP BY user_id
+  UNION ALL SELECT user_id, (SELECT min(hour) FROM p WHERE p.user_id = r.user_id AND p.hour >= r.moment + INTERVAL 48 HOUR) AS moment, k + 1 FROM r WHERE r.moment IS NOT NULL),
+e AS (SELECT user_id, max(moment) AS last_release, max(CASE WHEN moment IS NOT NULL THEN k END) AS releases FROM r GROUP BY user_id)
+SELECT user_id, releases, last_release, CAST(coalesce((SELECT sum(n) FROM p WHERE p.user_id = e.user_id AND p.hour > e.last_release), 0) AS BIGINT) AS held FROM e""")
 def publish_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.publish_windows(table(spark, sf_dir, "events"), "user_id", "ts", 48)
+    """Releases of each user's changes, 48 hours apart at least."""
+    return O.releases(table(spark, sf_dir, "events"), "user_id", "ts", 48)
 
 
 @query(f"""SELECT d.source, d.doc_id FROM documents d WHERE d.doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.source = d.source AND sha256(o.text) = sha256(d.text))""")
@@ -264,14 +272,34 @@ def version_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0"), ["source", "sha"], "left_anti").select("source", "doc_id")
 
 
-@query("""WITH p AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM conversations)
-SELECT conv_id, turn, len(string_split(trim(text), ' ')) <= 12 AND previous IS NOT NULL AS inherits, sha256(coalesce(previous, '')) AS previous_digest FROM p WHERE role = 'user'""")
+_CONTEXT = f"""WITH RECURSIVE names AS (SELECT n_nationkey AS entity, list_extract(['of','und','dans','the','que'], CAST(n_nationkey % 5 + 1 AS INTEGER)) || ' ' || list_extract(['the','der','les','and','la'], CAST((n_nationkey // 5) % 5 + 1 AS INTEGER)) AS name FROM nation),
+u AS (SELECT conv_id, turn, text, {sql_normalize('text')} AS said, {sql_norm('text')} AS n FROM conversations WHERE role = 'user'),
+a AS MATERIALIZED (SELECT conv_id, turn, len(list_filter(string_split(said, ' '), lambda w: w <> '')) <= 8 OR regexp_matches(said, '^(et|eux|elles|lui|elle|sinon|quid|meme question)') AS short,
+  list_sort(coalesce((SELECT list(CAST(entity AS VARCHAR)) FROM names WHERE contains(' ' || n || ' ', ' ' || name || ' ')), [])) AS entities,
+  list_sort(list_distinct(list_filter({sql_words('text')}, lambda w: length(w) >= 5))) AS topic, regexp_matches(said, '\\b(compare|versus|vs|than|als)\\b') AS compares, contains(text, '?') AS status,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM u),
+f AS (SELECT conv_id, turn, k, entities, topic, CASE WHEN compares THEN 'comparison' END AS mode, 0 AS inherited FROM a WHERE k = 1
+  UNION ALL SELECT conv_id, turn, k, e, t, m, CAST(len(own_e) = 0 AND len(e) > 0 AS INT) + CAST(len(own_t) = 0 AND len(t) > 0 AS INT) + CAST(m IS NOT NULL AND NOT compares AS INT) FROM (
+    SELECT a.conv_id, a.turn, a.k, a.entities AS own_e, a.topic AS own_t, compares, CASE WHEN len(a.entities) > 0 OR NOT short THEN a.entities ELSE f.entities END AS e, CASE WHEN len(a.topic) > 0 OR NOT short THEN a.topic ELSE f.topic END AS t,
+      CASE WHEN compares THEN 'comparison' WHEN short AND f.mode = 'comparison' AND ((len(a.entities) = 0 AND len(f.entities) > 0) OR len(f.entities) >= 2) THEN 'comparison'
+        WHEN short AND len(f.topic) > 0 AND NOT status THEN 'measures' END AS m FROM f JOIN a ON a.conv_id = f.conv_id AND a.k = f.k + 1))
+SELECT conv_id, turn, array_to_string(entities, ',') AS entities, sha256(array_to_string(topic, ',')) AS topic, mode, inherited FROM f"""
+
+
+@query(_CONTEXT)
 def followup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The user turn before each user turn; short ones inherit its context."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "conversations").withColumn("previous", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before))
-    short = F.size(F.split(F.trim("text"), " ")) <= 12
-    return rows.where("role = 'user'").select("conv_id", "turn", (short & F.col("previous").isNotNull()).alias("inherits"), F.sha2(F.coalesce("previous", F.lit("")), 256).alias("previous_digest"))
+    """What each user turn stands for after it has inherited: entities are the names it holds, its topic its tokens of five letters
+    and more, a question mark asks for a status."""
+    from attestor.plans.dedupe_queries import _names
+
+    text = F.col("text")
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("key", F.struct("conv_id", "turn"))
+    named = D.mentions(users.select("key", "text"), "key", _names(spark, sf_dir), "entity").groupBy("key").agg(F.array_sort(F.collect_set(F.col("entity").cast("string"))).alias("entities"))
+    none = F.array().cast("array<string>")
+    topic = F.array_sort(F.filter(T.tokens(text), lambda w: F.length(w) >= 5))
+    rows = users.join(named, "key", "left").select("conv_id", "turn", X.follows_up(text).alias("short"), F.coalesce("entities", none).alias("entities"), topic.alias("topic"), T.normalize(text).rlike(r"\b(compare|versus|vs|than|als)\b").alias("compares"), F.contains(text, F.lit("?")).alias("status"))
+    found = X.carried(rows)
+    return found.select("conv_id", "turn", F.array_join("entities", ",").alias("entities"), F.sha2(F.array_join("topic", ","), 256).alias("topic"), "mode", "inherited")
 
 
 @query(f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS age, {sql_words('text')} AS w FROM conversations WHERE role = 'user'),
