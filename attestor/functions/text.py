@@ -67,10 +67,10 @@ def variants(t: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """The 32-bit FNV-1a hash of a string's UTF-8 bytes (2166136261 and 16777619 are its fixed values)."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    octets = F.transform(F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h) - 1, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("long"))
-    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda x, b: (x.bitwiseXOR(b) * F.lit(16777619).cast("long")) % F.lit(1 << 32))
+    """The 32-bit FNV-1a hash over a string's UTF-16 units (2166136261 and 16777619 are its fixed values)."""
+    h = F.hex(F.encode(c, "UTF-16BE"))
+    units = F.transform(F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h) - 3, F.lit(4))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(h, i, F.lit(4)), 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda x, u: (x.bitwiseXOR(u) * F.lit(16777619).cast("long")) % F.lit(1 << 32))
 
 
 def stem(t: Column) -> Column:

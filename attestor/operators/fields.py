@@ -175,19 +175,18 @@ def term_profile(index: FieldIndex, asked: Asked, retrieval_terms: DataFrame, an
     wanted = asked.concepts.select("item_id", "concept")
     role = lambda rows, name: rows.select("item_id", "term", F.lit(name).alias("role"), F.col("concept") if "concept" in rows.columns else F.lit(None).cast("string").alias("concept"))
     roles = role(asked.subjects, "subject").unionByName(role(asked.numbers, "number")).unionByName(role(wanted.join(retrieval_terms, "concept"), "concept")).unionByName(role(wanted.join(anchors, "concept"), "anchor"))
-    roles = roles.groupBy("item_id", "term").agg(F.collect_set(F.struct("role", "concept")).alias("roles"))
+    of_concept = F.when(F.col("concept").isNotNull(), F.struct("concept", (F.col("role") == "anchor").alias("anchor")))
+    roles = roles.groupBy("item_id", "term").agg(F.bool_or(F.col("role") == "subject").alias("subject"), F.bool_or(F.col("role") == "number").alias("number"), F.collect_set(of_concept).alias("of"))
     total = index.records.agg(F.count(F.lit(1))).scalar()
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = roles.join(index.stem_df, "term").withColumn("total", total).select("item_id", "term", "roles", idf.alias("idf"))
-    hits = weights.join(index.stems, "term").withColumn("bm25", F.col("idf") * F.col("impact"))
-    is_a = lambda name: F.exists("roles", lambda r: r["role"] == name)
+    weights = roles.join(index.stem_df, "term").withColumn("total", total).select("item_id", "term", "subject", "number", F.when(F.size("of") > 0, F.col("of")).alias("of"), idf.alias("idf"))
+    hits = written(weights).join(index.stems, "term").withColumn("bm25", F.col("idf") * F.col("impact"))
     in_fields = sum((F.when(has(f), w).otherwise(0.0) for f, w in TERM_FIELDS.items()), F.lit(0.0))
-    of_concepts = F.filter("roles", lambda r: r["concept"].isNotNull())
     rows = hits.groupBy("item_id", "doc_id").agg(
-        F.sum(F.when(is_a("subject"), 2.7 * F.col("bm25") + in_fields).otherwise(0.0)).alias("subject_score"),
-        F.count_if(is_a("subject")).alias("direct"),
-        F.count_if(is_a("number")).alias("numbers"),
-        F.flatten(F.collect_list(F.transform(of_concepts, lambda r: F.struct(r["concept"].alias("concept"), (r["role"] == "anchor").alias("anchor"), F.col("bm25").alias("bm25"))))).alias("found"),
+        F.sum(F.when(F.col("subject"), 2.7 * F.col("bm25") + in_fields).otherwise(0.0)).alias("subject_score"),
+        F.count_if("subject").alias("direct"),
+        F.count_if("number").alias("numbers"),
+        F.collect_list(F.when(F.col("of").isNotNull(), F.struct("of", "bm25"))).alias("found"),
     )
     # a question has few concepts and a concept few terms, so the list is short
     anchored = asked.concepts.select("item_id", "concept").join(anchors.select("concept").distinct().withColumn("anchored", F.lit(True)), "concept", "left")
@@ -195,9 +194,9 @@ def term_profile(index: FieldIndex, asked: Asked, retrieval_terms: DataFrame, an
     rows = rows.join(listed, "item_id", "left")
 
     def value(c: Column) -> Column:
-        own = F.filter("found", lambda f: f["concept"] == c["concept"])
-        four = F.slice(F.reverse(F.array_sort(F.transform(F.filter(own, lambda f: ~f["anchor"]), lambda f: f["bm25"]))), 1, 4)
-        fits = (F.size(four) > 0) & (~c["anchored"] | F.exists(own, lambda f: f["anchor"]))
+        holds = lambda f, anchor: F.exists(f["of"], lambda o: (o["concept"] == c["concept"]) & (o["anchor"] == F.lit(anchor)))
+        four = F.slice(F.reverse(F.array_sort(F.transform(F.filter("found", lambda f: holds(f, False)), lambda f: f["bm25"]))), 1, 4)
+        fits = (F.size(four) > 0) & (~c["anchored"] | F.exists("found", lambda f: holds(f, True)))
         return F.when(fits, 5.5 + F.least(F.lit(7.0), 0.8 * F.aggregate(four, F.lit(0.0), lambda a, x: a + x)))
 
     none = F.array().cast("array<struct<concept:string,anchored:boolean>>")

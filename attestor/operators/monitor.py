@@ -27,7 +27,8 @@ def first_seen(observations: DataFrame, owner: str, item: str, at: str) -> DataF
 def failure_streaks(log: DataFrame, key: str, at: str, tie: str, failed: Column, persistent: int = 4) -> DataFrame:
     """Runs of consecutive failures of each key (gaps and islands): number, first and last failure, persistent or not. A
     streak's island is the number of successes before it."""
-    rows = Ordered(log.select(key, at, tie, F.coalesce(failed, F.lit(False)).alias("__f")), [key], [at, tie])
+    order = list(dict.fromkeys((at, tie)))
+    rows = Ordered(log.select(key, *order, F.coalesce(failed, F.lit(False)).alias("__f")), [key], order)
     rows = rows.total(F.when(F.col("__f"), 0).otherwise(1), "island").done()
     runs = rows.where("__f").groupBy(key, "island").agg(F.count(F.lit(1)).alias("failures"), F.min(at).alias("first_failure"), F.max(at).alias("last_failure"))
     return runs.withColumn("persistent", F.col("failures") >= persistent).drop("island")

@@ -49,7 +49,7 @@ _FIRST = "list_extract(list_filter(list_transform(regexp_extract_all(text, '[^.!
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT min(doc_id) AS doc_id, source, lang, list_distinct({sql_words('s')}) AS w, list_distinct(regexp_extract_all(s, '[0-9]+')) AS n FROM (SELECT doc_id, source, lang, {_FIRST} AS s FROM documents) WHERE s IS NOT NULL GROUP BY source, lang, s),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w)) AS shared, least(len(x.w), len(y.w)) AS least FROM c x JOIN c y ON x.source = y.source AND x.lang = y.lang AND x.doc_id < y.doc_id
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w)) AS shared, len(y.w) AS least FROM c x JOIN c y ON x.source = y.source AND x.lang = y.lang AND x.doc_id < y.doc_id
 WHERE len(x.n) = 0 OR len(y.n) = 0 OR len(list_intersect(x.n, y.n)) > 0),
 l AS (SELECT a, b FROM p WHERE shared >= CASE WHEN least <= 4 THEN 2 ELSE 3 END AND (shared >= 4 OR shared >= 0.4 * least)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),

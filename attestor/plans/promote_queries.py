@@ -41,7 +41,14 @@ def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_markdown(F.col("text")).alias("plain"))
 
 
-@query("SELECT o_orderkey, true AS own, false AS next FROM orders")
+_MONTH = f"list_extract([{', '.join(repr(m) for m in D.MONTHS)}], CAST(month(d) AS INTEGER))"
+_FORMS = f"[strftime(d, '%Y-%m-%d'), strftime(d, '%d/%m/%Y'), day(d) || '.' || month(d) || '.' || year(d), day(d) || ' ' || {_MONTH} || ' ' || year(d)]"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), t AS (SELECT o_orderkey, d, 'signé le ' || list_extract({_FORMS}, CAST(o_orderkey % 4 + 1 AS INTEGER)) || ', publié.' AS said FROM o),
+n AS (SELECT o_orderkey, CAST(d + 1 AS DATE) AS d, said FROM t)
+SELECT o_orderkey, len(list_filter({_FORMS.replace('(d', '(t.d').replace('month(t.d)', 'month(t.d)')}, lambda f: regexp_matches(said, '(^|[^0-9])' || replace(f, '.', '[.]') || '($|[^0-9])'))) > 0 AS own,
+(SELECT len(list_filter({_FORMS.replace('(d', '(n.d')}, lambda f: regexp_matches(n.said, '(^|[^0-9])' || replace(f, '.', '[.]') || '($|[^0-9])'))) > 0 FROM n WHERE n.o_orderkey = t.o_orderkey) AS next FROM t""")
 def date_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text that gives an order's date in one of four forms supports that date, and the day after."""
     date, day = F.to_date("o_orderdate"), F.dayofmonth("o_orderdate").cast("string")

@@ -40,7 +40,7 @@ def _parts(spark: SparkSession, sf_dir: str):
 
 @query(_WITH + "SELECT term, df FROM df")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.document_frequency(terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "doc_id")
+    return _parts(spark, sf_dir)[2].df.select("term", "df")
 
 
 @query(_WITH + "SELECT doc_id, term, tf FROM tf")

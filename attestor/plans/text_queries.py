@@ -89,7 +89,7 @@ def acronym(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.acronym(F.col("p_name")).alias("acronym"))
 
 
-@query("""SELECT n_nationkey, 'Delegates of ' || '[...]' || ' met; ' || '[...]' || ' agreed.' AS masked FROM nation""")
+@query("""SELECT n_nationkey, regexp_replace('Delegates of ' || n_name || ' met; ' || lower(n_name) || ' agreed.', array_to_string(list_concat([n_name], list_filter(string_split(n_name, ' '), lambda p: length(p) > 3)), '|'), '[...]', 'gi') AS masked FROM nation""")
 def mask_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("n_name")
     sentence = F.concat(F.lit("Delegates of "), name, F.lit(" met; "), F.lower(name), F.lit(" agreed."))
@@ -105,9 +105,10 @@ def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower({sql_compact('text')}) AS q FROM benchmark) b
-JOIN (SELECT doc_id, lower({sql_compact('text')}) AS t FROM documents) d ON contains(d.t, b.q) WHERE b.q <> ''""")
+JOIN (SELECT doc_id, lower({sql_compact('text')}) AS t FROM documents) d ON contains(d.t, b.q) WHERE b.q <> '' AND len(string_split(b.q, ' ')) <= 18""")
 def exact_quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.quote_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    """Verbatim quotes of at most 18 words."""
+    return terms.quote_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", most_words=18)
 
 
 @query(f"""

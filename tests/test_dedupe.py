@@ -6,9 +6,10 @@ from attestor.plans import dedupe_queries as Q
 
 
 def says_the_same(x, y):
+    """y is the newer claim, by whose terms coverage is measured."""
     (w, n), (v, m) = x, y
-    shared, least = len(w & v), min(len(w), len(v))
-    return not (n and m and not n & m) and shared >= (2 if least <= 4 else 3) and (shared >= 4 or shared >= 0.4 * least)
+    shared = len(w & v)
+    return not (n and m and not n & m) and shared >= (2 if len(v) <= 4 else 3) and (shared >= 4 or shared >= 0.4 * len(v))
 
 
 def test_claims_with_different_rarest_words_match(spark):
