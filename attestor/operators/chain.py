@@ -126,10 +126,14 @@ def one_pass(world: World, questions: DataFrame, limit: int) -> Pass:
     asked = P.analysed(questions, world.ontology, world.entities.select("entity", "alias"))
     refused, unknown = gates(world, questions, asked)
     active = replace(asked, subjects=_without(asked.subjects, refused), concepts=_without(asked.concepts, refused), entities=_without(asked.entities, refused), numbers=_without(asked.numbers, refused))
-    scored = P.term_profile(world.index, active, _concept_terms(world), world.anchors)
+    values = written(P.concept_values(world.index, active.concepts, _concept_terms(world), world.anchors))
+    scored = P.term_profile(world.index, active, values)
     near = written(P.coherent(P.relevant(scored, active)))
     chosen = P.diversify(near, F.lit(2), F.when(F.col("compare"), 4).otherwise(5), limit)
-    found = written(chosen.join(near.select("item_id", "doc_id", "named", "entity", "path", "kind"), ["item_id", "doc_id"]))
+    matched = chosen.join(active.concepts.select("item_id", "concept"), "item_id").join(values.select("concept", "doc_id"), ["concept", "doc_id"])
+    named = matched.groupBy("item_id", "doc_id").agg(F.collect_set("concept").alias("named"))
+    found = chosen.join(near.select("item_id", "doc_id", "entity", "path", "kind"), ["item_id", "doc_id"]).join(named, ["item_id", "doc_id"], "left")
+    found = written(found.withColumn("named", F.coalesce("named", F.array().cast("array<string>"))))
     reason = lambda rows, name: rows.select("item_id").distinct().withColumn("reason", F.lit(name))
     poor = reason(questions.join(refused, "item_id", "left_anti").join(found, "item_id", "left_anti"), "insufficient_relevance")
     unmatched = written(reason(targeted(world, asked, found), "unmatched_qualifier"))

@@ -165,48 +165,46 @@ RARITY_BONUS = {"status_intent": 8.0, "programme_intent": 3.0, "compare_intent":
 _ATTRIBUTES = ["doc_id", "entity", "kind", "status", "confidence", "tier", "source_url", "path"]
 
 
-def term_profile(index: FieldIndex, asked: Asked, retrieval_terms: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score, direct, concepts (how many) and their names, entity_match, numbers, and the record's attributes) of all records that
-    share a term with a question.
-
-    2.7 times BM25 and the weights of the fields for each subject; 5.5 and 0.8 times the four best BM25 values (7 at most)
-    for each concept whose anchors, if it has any, are in the record; 18 for a requested entity; 7 for each number; and
-    the bonuses. retrieval_terms, anchors: (concept, term). A concept's terms are looked up with the subjects, in one join."""
-    wanted = asked.concepts.select("item_id", "concept")
-    role = lambda rows, name: rows.select("item_id", "term", F.lit(name).alias("role"), F.col("concept") if "concept" in rows.columns else F.lit(None).cast("string").alias("concept"))
-    roles = role(asked.subjects, "subject").unionByName(role(asked.numbers, "number")).unionByName(role(wanted.join(retrieval_terms, "concept"), "concept")).unionByName(role(wanted.join(anchors, "concept"), "anchor"))
-    of_concept = F.when(F.col("concept").isNotNull(), F.struct("concept", (F.col("role") == "anchor").alias("anchor")))
-    roles = roles.groupBy("item_id", "term").agg(F.bool_or(F.col("role") == "subject").alias("subject"), F.bool_or(F.col("role") == "number").alias("number"), F.collect_set(of_concept).alias("of"))
+def _weighed(index: FieldIndex, rows: DataFrame) -> DataFrame:
+    """rows (with a term) joined with the postings of their terms, with each one's BM25."""
     total = index.records.agg(F.count(F.lit(1))).scalar()
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = roles.join(index.stem_df, "term").withColumn("total", total).select("item_id", "term", "subject", "number", F.when(F.size("of") > 0, F.col("of")).alias("of"), idf.alias("idf"))
-    hits = written(weights).join(index.stems, "term").withColumn("bm25", F.col("idf") * F.col("impact"))
+    weights = rows.join(index.stem_df, "term").withColumn("total", total).withColumn("idf", idf).drop("df", "total")
+    return written(weights).join(index.stems, "term").withColumn("bm25", F.col("idf") * F.col("impact"))
+
+
+def concept_values(index: FieldIndex, concepts: DataFrame, retrieval_terms: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(concept, doc_id, value): 5.5 and 0.8 times the four best BM25 values (7 at most) for each record that matches a concept: that
+    has one of its terms and, if it has anchors, one of these. No question plays a part, so each concept is looked up once for
+    the batch. retrieval_terms, anchors: (concept, term); concepts: those asked for."""
+    wanted = concepts.select("concept").distinct()
+    found = _weighed(index, wanted.join(retrieval_terms, "concept")).groupBy("concept", "doc_id").agg(F.collect_list("bm25").alias("all"))
+    four = F.slice(F.reverse(F.array_sort("all")), 1, 4)
+    values = found.select("concept", "doc_id", (5.5 + F.least(F.lit(7.0), 0.8 * F.aggregate(four, F.lit(0.0), lambda a, x: a + x))).alias("value"))
+    held = wanted.join(anchors, "concept").join(index.stems, "term").select("concept", "doc_id").distinct()
+    anchored = anchors.select("concept").distinct()
+    return values.join(anchored, "concept", "left_anti").unionByName(values.join(anchored, "concept", "left_semi").join(held, ["concept", "doc_id"], "left_semi"))
+
+
+def term_profile(index: FieldIndex, asked: Asked, values: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score, direct, concepts, entity_match, numbers, and the record's attributes) of all records that
+    share a subject, a number or a concept with a question. values: of concept_values.
+
+    2.7 times BM25 and the weights of the fields for each subject; the value of each concept; 18 for a requested entity; 7
+    for each number; and the bonuses. Subjects and numbers are looked up in one join; one sum over whole rows follows."""
+    role = lambda rows, name: rows.select("item_id", "term", F.lit(name).alias("role"))
+    roles = role(asked.subjects, "subject").unionByName(role(asked.numbers, "number"))
+    roles = roles.groupBy("item_id", "term").agg(F.bool_or(F.col("role") == "subject").alias("subject"), F.bool_or(F.col("role") == "number").alias("number"))
     in_fields = sum((F.when(has(f), w).otherwise(0.0) for f, w in TERM_FIELDS.items()), F.lit(0.0))
-    rows = hits.groupBy("item_id", "doc_id").agg(
-        F.sum(F.when(F.col("subject"), 2.7 * F.col("bm25") + in_fields).otherwise(0.0)).alias("subject_score"),
-        F.count_if("subject").alias("direct"),
-        F.count_if("number").alias("numbers"),
-        F.collect_list(F.when(F.col("of").isNotNull(), F.struct("of", "bm25"))).alias("found"),
-    )
-    # a question has few concepts and a concept few terms, so the list is short
-    anchored = asked.concepts.select("item_id", "concept").join(anchors.select("concept").distinct().withColumn("anchored", F.lit(True)), "concept", "left")
-    listed = anchored.groupBy("item_id").agg(F.collect_list(F.struct("concept", F.coalesce("anchored", F.lit(False)).alias("anchored"))).alias("asked"))
-    rows = rows.join(listed, "item_id", "left")
-
-    def value(c: Column) -> Column:
-        holds = lambda f, anchor: F.exists(f["of"], lambda o: (o["concept"] == c["concept"]) & (o["anchor"] == F.lit(anchor)))
-        four = F.slice(F.reverse(F.array_sort(F.transform(F.filter("found", lambda f: holds(f, False)), lambda f: f["bm25"]))), 1, 4)
-        fits = (F.size(four) > 0) & (~c["anchored"] | F.exists("found", lambda f: holds(f, True)))
-        return F.when(fits, 5.5 + F.least(F.lit(7.0), 0.8 * F.aggregate(four, F.lit(0.0), lambda a, x: a + x)))
-
-    none = F.array().cast("array<struct<concept:string,anchored:boolean>>")
-    values = F.filter(F.transform(F.coalesce("asked", none), lambda c: F.struct(c["concept"].alias("concept"), value(c).alias("value"))), lambda v: v["value"].isNotNull())
-    rows = rows.withColumn("values", values).drop("found", "asked")
+    one = lambda c: c.cast("int")
+    by_term = _weighed(index, roles).select("item_id", "doc_id", F.when(F.col("subject"), 2.7 * F.col("bm25") + in_fields).otherwise(0.0).alias("part"), one(F.col("subject")).alias("direct"), one(F.col("number")).alias("numbers"), F.lit(0).alias("concepts"))
+    by_concept = asked.concepts.select("item_id", "concept").join(values, "concept").select("item_id", "doc_id", F.col("value").alias("part"), F.lit(0).alias("direct"), F.lit(0).alias("numbers"), F.lit(1).alias("concepts"))
+    rows = by_term.unionByName(by_concept).groupBy("item_id", "doc_id").agg(F.sum("part").alias("parts"), *(F.sum(c).alias(c) for c in ("direct", "numbers", "concepts")))
     requested = asked.entities.select("item_id", "entity", F.lit(True).alias("entity_match"))
     joined = rows.join(index.records.select(_ATTRIBUTES), "doc_id").join(asked.intents, "item_id").join(requested, ["item_id", "entity"], "left")
     matched = F.coalesce("entity_match", F.lit(False))
-    score = F.col("subject_score") + F.aggregate("values", F.lit(0.0), lambda a, x: a + x["value"]) + F.when(matched, 18.0).otherwise(0.0) + 7.0 * F.col("numbers") + _bonus(joined, TERM_BONUS)
-    return joined.select("item_id", "doc_id", F.round(score, 6).alias("score"), "direct", F.size("values").alias("concepts"), F.transform("values", lambda v: v["concept"]).alias("named"), matched.alias("entity_match"), "numbers", "entity", "path", "kind", "compare", "candidate_status")
+    score = F.col("parts") + F.when(matched, 18.0).otherwise(0.0) + 7.0 * F.col("numbers") + _bonus(joined, TERM_BONUS)
+    return joined.select("item_id", "doc_id", F.round(score, 6).alias("score"), "direct", "concepts", matched.alias("entity_match"), "numbers", "entity", "path", "kind", "compare", "candidate_status")
 
 
 def relevant(scored: DataFrame, asked: Asked, least: float = 2.2) -> DataFrame:

@@ -136,19 +136,20 @@ _TERM_COHERENT = ", coherent AS (SELECT *, 2 AS path_cap, CASE WHEN compare THEN
 
 
 def _term_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, P.Asked]:
-    records = _records(spark, sf_dir)
+    records = written(_records(spark, sf_dir))
     index, ontology = P.field_index(records), _ontology(spark, sf_dir)
     asked = P.analysed(_questions(spark, sf_dir), ontology, _aliases(records))
     cut = lambda rows: rows.select("concept", F.explode(T.tokens(F.col("alias"))).alias("term")).distinct()
     first = ontology.where(F.contains("alias", F.lit(" "))).groupBy("concept").agg(F.min("alias").alias("alias"))
-    return P.relevant(P.term_profile(index, asked, cut(ontology), cut(first)), asked), asked
+    values = P.concept_values(index, asked.concepts, cut(ontology), cut(first))
+    return P.relevant(P.term_profile(index, asked, values), asked), asked
 
 
 @query(_TERM + " SELECT item_id, doc_id, score, direct, concepts, entity_match, numbers FROM relevant")
 def term_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record that answers a question, with the whole score of the term profile and what it is made of. A concept's anchors are
     the words of its first pair."""
-    columns = ["item_id", "doc_id", "score", "direct", F.col("concepts").cast("long"), "entity_match", "numbers"]
+    columns = ["item_id", "doc_id", "score", "direct", "concepts", "entity_match", "numbers"]
     return _term_scored(spark, sf_dir)[0].select(*columns)
 
 
@@ -186,7 +187,7 @@ relevant AS (SELECT * FROM scored WHERE score >= 1.8 AND CASE WHEN signals = 0 T
 
 
 def _rarity_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir)
+    records = written(_records(spark, sf_dir))
     aliases = _aliases(records).select("entity", F.col("alias").alias("term"))
     return P.rarity_relevant(P.rarity_profile(P.field_index(records), _questions(spark, sf_dir), aliases))
 
@@ -206,7 +207,7 @@ def rarity_profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _world(spark: SparkSession, sf_dir: str) -> C.World:
     """Sources below 10 stand for candidates, the others for parties; every second candidate has the party ten above it."""
-    records, ontology = _records(spark, sf_dir), _ontology(spark, sf_dir)
+    records, ontology = written(_records(spark, sf_dir)), _ontology(spark, sf_dir)
     number = F.expr("try_cast(regexp_replace(entity, '[^0-9]', '') AS int)")
     person = number < 10
     entities = _aliases(records).select("entity", "alias", F.when(person, "candidate").otherwise("party").alias("type"), F.when(person & (number % 2 == 0), F.concat(F.lit("src"), (number + 10).cast("string"))).alias("party"))
