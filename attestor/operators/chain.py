@@ -140,6 +140,12 @@ def one_pass(world: World, questions: DataFrame, limit: int) -> Pass:
     return Pass(asked, refused.unionByName(poor).unionByName(unmatched), _without(found, unmatched), unknown.join(refused.where("reason = 'unknown_qualifier'"), "item_id", "left_semi"))
 
 
+def _nothing(like: Pass) -> Pass:
+    """A pass over no questions."""
+    asked = P.Asked(*(getattr(like.asked, f).where("false") for f in ("subjects", "concepts", "entities", "numbers", "intents")))
+    return Pass(asked, *(rows.where("false") for rows in (like.reasons, like.found, like.unknown)))
+
+
 def cleaned(world: World, questions: DataFrame, unknown: DataFrame) -> DataFrame:
     """The questions all of whose unknown words are harmless, without these words."""
     fine = harmless(world, unknown).withColumn("fine", F.lit(True))
@@ -195,7 +201,7 @@ def retrieve(world: World, questions: DataFrame, limit: int = 10) -> tuple[DataF
     item_id must be a string. origin: direct, party (inherited from the party of `entity`) or title."""
     first = one_pass(world, questions, limit)
     again = written(cleaned(world, questions, first.unknown))
-    second = one_pass(world, again, limit)
+    second = one_pass(world, again, limit) if not again.isEmpty() else _nothing(first)
     retried = again.select("item_id")
     join_up = lambda name: _without(getattr(first, name), retried).unionByName(getattr(second, name))
     reasons, found = written(join_up("reasons")), written(join_up("found").withColumn("origin", F.lit("direct")))
@@ -203,7 +209,7 @@ def retrieve(world: World, questions: DataFrame, limit: int = 10) -> tuple[DataF
     wordings = _without(questions, retried).unionByName(again)
 
     derived = written(party_questions(world, asked, reasons.where("reason like 'unsupported%' or reason in ('empty', 'out_of_scope')")))
-    third = one_pass(world, derived.select("item_id", "text"), max(limit, 14))
+    third = one_pass(world, derived.select("item_id", "text"), max(limit, 14)) if not derived.isEmpty() else _nothing(first)
     heirs = third.found.join(derived.select("item_id", "of", "candidate", "party"), "item_id").where("entity = party")
     inherited = heirs.select(F.col("of").alias("item_id"), "doc_id", F.round(F.col("score") * INHERITED, 6).alias("score"), "named", F.col("candidate").alias("entity"), "path", "kind", F.lit("party").alias("origin"))
     columns = ["item_id", "doc_id", "score", "named", "entity", "path", "kind", "origin"]
