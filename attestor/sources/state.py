@@ -72,7 +72,7 @@ class VersionedState:
         if touched:
             old = self._rows(now, touched).select(columns).withColumn("bucket", bucket)
             both = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
-            rest = [c for c in columns if c not in self.keys]
+            rest = [c for c in columns if c not in self.keys] or self.keys[:1]
             rank = F.struct(*([order] if order else []), "__new")
             merged = both.groupBy("bucket", *self.keys).agg(F.max_by(F.struct(*rest), rank).alias("__row"))
             rows = merged.select("bucket", *(F.col("__row")[c].alias(c) if c in rest else F.col(c) for c in columns))

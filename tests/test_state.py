@@ -71,3 +71,10 @@ def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
     assert rows(other.read()) == [(1, "other", 1)]
     with pytest.raises(ValueError):
         state(spark, tmp_path, 9).read()
+
+
+def test_keys_alone(spark, tmp_path):
+    s = VersionedState(spark, f"file://{tmp_path}", "k long, v string", ["k", "v"], 4)
+    s.upsert(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k long, v string"))
+    s.upsert(spark.createDataFrame([(1, "b"), (2, None)], "k long, v string"))
+    assert rows(s.read()) == [(1, "a"), (1, "b"), (2, None)]
