@@ -4,7 +4,8 @@ For dates an order stands for a proposal: its lines' latest shipping is when it
 published. Finished orders state a basis, partly shipped ones state that the date is that of the capture, open ones state
 none and cite the customer's last order and the last one of the same priority. A customer cites its latest order. For
 evidence a document is a record, its sentences are the chunks, its source is the entity; it cites its neighbours in the
-order of ids within its language; one of low quality is a note."""
+order of ids within its language; one of low quality is a note. In the index a document of known quality is a claim, its
+source a candidate, whose status is the best quality of its documents, and its language a party."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.operators import expansion as E
+from attestor.operators import index_rows as X
 from attestor.operators import propagate as P
 from attestor.operators import retrieval as R
 from attestor.operators.ordered import Ordered
@@ -126,3 +128,45 @@ def evidence_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut.select(F.col("doc_id").alias("record"), F.col("source").alias("entity"), F.col("source").alias("path"), "kind", F.get("said", F.lit(0)).alias("title"), F.posexplode("said").alias("chunk", "text"))
     chunks = cut.withColumn("section", F.floor(F.col("chunk") / 20))
     return E.expand(evidence, written(chunks))
+
+
+_INDEX = """WITH d AS (SELECT doc_id, lang, source, quality, list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 12) AS ss,
+  coalesce((lag(doc_id) OVER w)::VARCHAR, '') AS a, coalesce((lead(doc_id) OVER w)::VARCHAR, '') AS b FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) WINDOW w AS (PARTITION BY lang ORDER BY doc_id)),
+c AS (SELECT source AS id, CASE WHEN max(quality) = 1 THEN 'declared' ELSE 'potential' END AS status, CASE WHEN count(quality) > 0 THEN 'medium' ELSE 'low' END AS confidence, min(lang) AS party FROM d WHERE source IS NOT NULL GROUP BY 1),
+p AS (SELECT DISTINCT lang AS id FROM d WHERE lang IS NOT NULL),
+r AS (SELECT d.*, quality IS NOT NULL AS claim, CASE quality WHEN 1 THEN 'current' WHEN 0 THEN 'withdrawn' ELSE 'unknown' END AS st, unnest(ss) AS text, unnest(range(len(ss))) AS n FROM d)
+SELECT 'candidate:' || id AS id, id AS record, 'candidate_status' AS kind, id AS entity, id AS entity_label, 'Statut de ' || id AS title, id || '. Statut : ' || status || '. Confiance : ' || confidence || '. Parti : ' || party || '.' AS text,
+  'data/entities.json' AS path, NULL AS source_url, NULL AS source_tier, 'current' AS document_status, NULL AS proposal_status, '' AS supersedes, '' AS superseded_by, '' AS source_documents, status AS candidate_status, '2027-01-01' AS published,
+  confidence, NULL AS certainty, 'candidat,candidature,statut,' || status || ',' || party AS topics, 'Statut' AS section, 0::INTEGER AS chunk FROM c
+UNION ALL SELECT 'party:' || id, id, 'party_profile', id, id, 'Parti : ' || id, id || ' est un parti ou mouvement du corpus.', 'data/entities.json', 'https://' || id || '.example', 'tier_1_primary_official', 'current', NULL, '', '', '', NULL, '2027-01-01',
+  'high', NULL, 'parti,mouvement,programme', 'Profil', 0 FROM p
+UNION ALL SELECT doc_id || '#' || (n + 1), doc_id::VARCHAR, CASE WHEN claim THEN 'proposal' ELSE 'document' END, source, coalesce(source, 'Entité inconnue'), ss[1], text, source || '/' || doc_id, NULL, NULL, st, CASE WHEN claim THEN st END, a, b,
+  concat_ws(',', nullif(a, ''), nullif(b, '')), c.status, NULL, CASE WHEN quality = 1 THEN 'high' ELSE c.confidence END, CASE WHEN claim THEN 'explicit' END, concat_ws(',', lang, st), (n // 20)::VARCHAR, n FROM r LEFT JOIN c ON c.id = r.source"""
+
+
+@query(_INDEX)
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole index: statuses, profiles, and every sentence of the corpus as a piece of a document or claim. Lists are
+    joined by commas."""
+    docs = table(spark, sf_dir, "documents")
+    order = Ordered(docs.select("doc_id", "lang"), ["lang"], ["doc_id"]).last(F.col("doc_id"), "before").following(F.col("doc_id"), "after").done().select("doc_id", "before", "after")
+    grade = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    graded = docs.select("doc_id", "lang", "source").join(grade, "doc_id", "left")
+    named = graded.where("source is not null").groupBy(F.col("source").alias("id")).agg(F.max("quality").alias("best"), F.count("quality").alias("n"), F.min("lang").alias("party"))
+    none = F.lit(None).cast("string")
+    candidates = named.select("id", F.col("id").alias("name"), F.when(F.col("best") == 1, "declared").otherwise("potential").alias("status"), F.when(F.col("n") > 0, "medium").otherwise("low").alias("confidence"), none.alias("declared"), none.alias("as_of"), "party", none.alias("source_url"), none.alias("source_tier"))
+    candidates = written(candidates)
+    parties = docs.where("lang is not null").select(F.col("lang").alias("id"), F.col("lang").alias("name"), F.concat(F.lit("https://"), "lang", F.lit(".example")).alias("website")).distinct()
+    cut = docs.select("doc_id", T.sentences(F.col("text")).alias("said"))
+    titles = cut.select("doc_id", F.get("said", F.lit(0)).alias("title"))
+    stated = F.when(F.col("quality") == 1, "current").when(F.col("quality") == 0, "withdrawn").otherwise("unknown")
+    claim, ids = F.col("quality").isNotNull(), lambda *c: F.array_compact(F.array(*c)).cast("array<string>")
+    records = graded.join(order, "doc_id").join(titles, "doc_id").select(
+        F.col("doc_id").cast("string").alias("record"), claim.alias("claim"), F.col("source").alias("entity"), "title", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"),
+        none.alias("source_url"), none.alias("primary_url"), none.alias("source_tier"), F.when(~claim, stated).alias("document_status"), F.when(claim, stated).alias("proposal_status"),
+        ids("before").alias("supersedes"), ids("after").alias("superseded_by"), ids("before", "after").alias("source_documents"), none.alias("published"), none.alias("first_documented"),
+        F.when(F.col("quality") == 1, "verified").alias("verification"), F.when(claim, "explicit").alias("certainty"), F.array("lang").alias("topics"),
+    )
+    pieces = cut.select(F.col("doc_id").cast("string").alias("record"), F.posexplode("said").alias("chunk", "text")).withColumn("section", F.floor(F.col("chunk") / 20).cast("string"))
+    rows = X.assemble(candidates, parties, records, pieces, F.lit("2027-01-01"))
+    return rows.select(*(F.array_join(c, ",").alias(c) if kind.startswith("array") else F.col(c) for c, kind in X.FIELDS.items()))
