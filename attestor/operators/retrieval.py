@@ -218,6 +218,21 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, questions: DataFrame, v
     return asked.rollup("variant").agg(F.count(F.lit(1)).alias("cases"), share(F.col("first") <= 1).alias("hit1"), share(F.col("first") <= 5).alias("hit5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def rejections(ranked: DataFrame, truth: DataFrame, reasons: DataFrame, variant: DataFrame, within: int = 5) -> DataFrame:
+    """(part, variant, reason, cases, share): why questions didn't get what they should. part missed: questions with a true
+    answer that isn't among the first `within`, by variant and reason (answerable: let through, but ranked behind or not
+    found), as a share of the variant's questions with an answer; part refused: questions without one by reason (answerable:
+    let through wrongly), as a share of all of these; their variant is null. ranked: item_id, doc_id, rank; truth: item_id,
+    doc_id; reasons: item_id, reason, one row for each question; variant: item_id, variant of those with an answer."""
+    first = ranked.join(truth, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("first"))
+    rows = reasons.join(variant, "item_id", "left").join(first, "item_id", "left").join(truth.select("item_id").distinct().withColumn("due", F.lit(True)), "item_id", "left")
+    part = F.when(F.col("due"), "missed").otherwise("refused")
+    lost = F.when(F.col("due"), F.coalesce(F.col("first") > within, F.lit(True))).otherwise(F.lit(True))
+    counted = rows.groupBy(part.alias("part"), "variant", "reason").agg(F.count_if(lost).alias("cases"), F.count(F.lit(1)).alias("all"))
+    counted = counted.withColumn("all", F.sum("all").over(Window.partitionBy("part", "variant")))
+    return counted.where("cases > 0").select("part", "variant", "reason", "cases", F.round(F.col("cases") / F.col("all"), 6).alias("share"))
+
+
 def extract_sentences(ranked: DataFrame, docs: DataFrame, asked: DataFrame, most: int = 6) -> DataFrame:
     """The sentences of ranked texts with the most question terms: 3 for each term, less 0.03 for each place from the
     text's start; at most `most` for each question, each taken as it stands in its text."""

@@ -9,6 +9,7 @@ from attestor.functions import text as T
 from attestor.operators import retrieval as R
 from attestor.operators import terms
 from attestor.plans.registry import Registry, sql_norm, sql_words
+from attestor.session import written
 from attestor.sources.tables import table
 
 registry = Registry()
@@ -141,6 +142,30 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranking_metrics(R.best(index, asked, 10), truth, questions, variant)
 
 
+_GATED = """unknown AS (SELECT DISTINCT item_id FROM asked WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN (SELECT term FROM df)),
+enough AS (SELECT s.*, max(score) OVER (PARTITION BY item_id) AS best FROM scored s JOIN need USING (item_id) WHERE hits >= least),
+why AS (SELECT item_id, CASE WHEN item_id NOT IN (SELECT item_id FROM asked) THEN 'empty' WHEN item_id IN (SELECT item_id FROM unknown) THEN 'unknown_qualifier'
+  WHEN item_id NOT IN (SELECT item_id FROM enough) THEN 'insufficient_relevance' ELSE 'answerable' END AS reason FROM benchmark),
+let AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM enough WHERE item_id NOT IN (SELECT item_id FROM unknown) AND score >= 0.4 * best QUALIFY rank <= 8)"""
+
+
+@query(_WITH + f""", {_GATED}, f AS (SELECT item_id, min(rank) AS first FROM let JOIN truth USING (item_id, doc_id) GROUP BY item_id),
+v AS (SELECT item_id, min(lang) AS variant FROM truth JOIN documents USING (doc_id) GROUP BY item_id),
+c AS (SELECT CASE WHEN item_id IN (SELECT item_id FROM truth) THEN 'missed' ELSE 'refused' END AS part, variant, reason, first FROM why LEFT JOIN v USING (item_id) LEFT JOIN f USING (item_id)),
+g AS (SELECT part, variant, reason, count(*) FILTER (WHERE part = 'refused' OR first IS NULL OR first > 5) AS cases, count(*) AS n FROM c GROUP BY ALL)
+SELECT part, variant, reason, cases, round(cases / total, 6) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY part, variant) AS total FROM g) WHERE cases > 0""")
+def ir_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the gated retrieval: why passages that stand in documents were missed, by language, and why the others were refused."""
+    docs, questions, index, asked = _parts(spark, sf_dir)
+    truth = written(terms.phrase_pairs(docs, questions, "doc_id", "item_id"))
+    variant = truth.join(docs.select("doc_id", "lang"), "doc_id").groupBy("item_id").agg(F.min("lang").alias("variant"))
+    scored = written(R.bm25(index, asked))
+    reasons = written(R.diagnostics(questions, asked, index, scored))
+    active = scored.join(reasons.where("reason = 'answerable'"), "item_id", "left_semi")
+    ranked = R.top(R.above_floor(R.gated(active, asked), 0.4), 8)
+    return R.rejections(ranked, truth, reasons, variant)
+
+
 _SENTENCES = "list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 18)"
 
 

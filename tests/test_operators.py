@@ -83,3 +83,14 @@ def test_near_sentences_are_dropped(spark):
     df = spark.createDataFrame([(1, k, 10 + k, s) for k, s in enumerate(said)], "item_id int, place int, doc_id int, sentence string")
     assert rows(R.without_near_sentences(df, 6), "place") == [(1, 1, 10, said[0]), (1, 2, 13, said[3])]
     assert rows(R.without_near_sentences(df, 1), "place") == [(1, 1, 10, said[0])]
+
+
+def test_rejections_by_reason(spark):
+    frame = spark.createDataFrame
+    ranked = frame([(1, 10, 1), (2, 20, 6), (2, 21, 1), (5, 50, 1)], "item_id int, doc_id int, rank int")
+    truth = frame([(1, 10), (2, 20), (3, 30), (6, 60)], "item_id int, doc_id int")
+    reasons = frame([(1, "answerable"), (2, "answerable"), (3, "empty"), (4, "empty"), (5, "answerable"), (6, "empty")], "item_id int, reason string")
+    variant = frame([(1, "x"), (2, "x"), (3, "x"), (6, "y")], "item_id int, variant string")
+    got = rows(R.rejections(ranked, truth, reasons, variant), "part", "variant", "reason")
+    assert got == [("missed", "x", "answerable", 1, 0.333333), ("missed", "x", "empty", 1, 0.333333), ("missed", "y", "empty", 1, 1.0), ("refused", None, "answerable", 1, 0.5), ("refused", None, "empty", 1, 0.5)]
+    assert R.rejections(ranked.where("false"), truth.where("false"), reasons.where("false"), variant.where("false")).count() == 0
