@@ -223,7 +223,15 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 1100, 180)
 
 
-@query()
+def _sql_end(start: str) -> str:
+    """The end of a window of 4,000 characters: behind the last sentence end in its second half, if there is one."""
+    cut = f"length(regexp_extract(substr(text, CAST({start} + 2001 AS INTEGER), 2000), '(?s)^(.*[.!?;]\\s)', 1))"
+    return f"CASE WHEN {start} + 4000 >= length(text) THEN length(text) ELSE {start} + CASE WHEN {cut} > 0 THEN 2000 + {cut} ELSE 4000 END END"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, 0 AS pos, 0::BIGINT AS start, {_sql_end('0')} AS stop, text FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, pos + 1, start, {_sql_end('start')}, text FROM (SELECT doc_id, pos, text, greatest(stop - 700, start + 1) AS start FROM w WHERE stop < length(text)))
+SELECT doc_id, pos, start::INTEGER AS start, substr(text, CAST(start + 1 AS INTEGER), CAST(stop - start AS INTEGER)) AS "window" FROM w""")
 def overlap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.windows(table(spark, sf_dir, "documents"), "doc_id", "text", 4000, 700)
 

@@ -227,7 +227,20 @@ def extractive_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("detail", F.col("sentence").rlike("[0-9]"))
 
 
-@query()
+_NEAR = """k.x = e.x OR ((contains(k.x, e.x) OR contains(e.x, k.x)) AND least(length(k.x), length(e.x)) / greatest(length(k.x), length(e.x), 1) >= 0.62)
+    OR len(list_intersect(k.w, e.w)) / greatest(len(list_distinct(list_concat(k.w, e.w))), 1) >= 0.68"""
+
+
+@query(_WITH + f""", s0 AS (SELECT item_id, doc_id, rank, {_SENTENCES} AS l FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10),
+s1 AS (SELECT item_id, doc_id, rank, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM s0),
+s2 AS (SELECT DISTINCT item_id, doc_id, rank, pos, sentence, unnest({sql_words('sentence')}) AS term FROM s1),
+s3 AS (SELECT item_id, doc_id, rank, pos, sentence, round(3 * count(*) - 0.03 * pos, 6) AS score FROM s2 JOIN asked USING (item_id, term) GROUP BY item_id, doc_id, rank, pos, sentence),
+s4 AS (SELECT item_id, doc_id, sentence, {sql_norm('sentence')} AS x, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, doc_id, pos) AS place FROM s3),
+e AS MATERIALIZED (SELECT item_id, place, doc_id, sentence, x, list_distinct(list_filter(string_split(x, ' '), lambda t: length(t) >= 3)) AS w FROM s4 WHERE place <= 20),
+g AS (SELECT item_id, 0 AS step, CAST([] AS STRUCT(doc_id BIGINT, sentence VARCHAR, x VARCHAR, w VARCHAR[])[]) AS kept FROM (SELECT DISTINCT item_id FROM e)
+  UNION ALL SELECT g.item_id, step + 1, CASE WHEN e.item_id IS NULL OR len(kept) >= 6 OR len(list_filter(kept, lambda k: {_NEAR})) > 0 THEN kept
+    ELSE list_append(kept, struct_pack(doc_id := e.doc_id, sentence := e.sentence, x := e.x, w := e.w)) END FROM g LEFT JOIN e ON e.item_id = g.item_id AND e.place = step + 1 WHERE step < 20)
+SELECT item_id, place::INTEGER AS place, r.doc_id AS doc_id, r.sentence AS sentence FROM (SELECT item_id, unnest(kept) AS r, unnest(range(1, len(kept) + 1)) AS place FROM g WHERE step = 20)""")
 def neardup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted sentences without those near a better one."""
     docs, _, index, asked = _parts(spark, sf_dir)
