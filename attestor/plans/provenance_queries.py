@@ -9,7 +9,7 @@ source a candidate, whose status is the best quality of its documents, and its l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
@@ -46,11 +46,11 @@ dated AS (SELECT id, basis, captured, coalesce(state, 'unknown') AS state, round
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """records (id, kind, basis, captured, published, status) and links (id, source)."""
     shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("captured"))
-    at = ["o_orderdate", "o_orderkey"]
-    last, alike = Window.partitionBy("o_custkey").orderBy(*at), Window.partitionBy("o_custkey", "o_orderpriority").orderBy(*at)
+    at, key = ["o_orderdate", "o_orderkey"], F.col("o_orderkey")
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     orders = table(spark, sf_dir, "orders").join(shipped, "o_orderkey", "left")
-    orders = orders.withColumn("a", F.lag("o_orderkey").over(last)).withColumn("later", F.lead("o_orderkey").over(last)).withColumn("b", F.lag("o_orderkey").over(alike)).withColumn("newer", F.lead("o_orderkey").over(alike))
+    orders = Ordered(orders, ["o_custkey"], at).last(key, "a").following(key, "later").done()
+    orders = Ordered(orders, ["o_custkey", "o_orderpriority"], at).last(key, "b").following(key, "newer").done()
     basis = F.when(F.col("o_orderstatus") == "F", "publication").when(F.col("o_orderstatus") == "P", "capture_fallback")
     status = F.when(F.col("newer").isNull(), "current").otherwise("superseded")
     orders = written(orders.select(node("proposal", "o_orderkey").alias("id"), node("entity", "o_custkey").alias("owner"), F.lit("proposal").alias("kind"), basis.alias("basis"), "captured", F.col("o_orderdate").alias("published"), status.alias("status"), node("proposal", "a").alias("a"), node("proposal", "b").alias("b"), "later"))
