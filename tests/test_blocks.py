@@ -50,3 +50,10 @@ def test_the_ontology_is_counted_without_a_join(spark):
     rows = detect.derived_ontology(docs)
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in rows.collect()} == {("fr", "deux"), ("fr", "trois"), ("a", "un deux"), ("a", "deux trois"), ("a", "trois deux")}
+
+
+def test_best_by_rarity_equal_best_of_all(corpus):
+    index, asked = corpus
+    rows = lambda df: {(r.item_id, r.rank, r.doc_id): r.score for r in R.top(df, 5).collect()}
+    want, got = rows(R.rarity(index, asked)), rows(R.rarity_best(index, asked, 5))
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
