@@ -57,3 +57,19 @@ def test_best_by_rarity_equal_best_of_all(corpus):
     rows = lambda df: {(r.item_id, r.rank, r.doc_id): r.score for r in R.top(df, 5).collect()}
     want, got = rows(R.rarity(index, asked)), rows(R.rarity_best(index, asked, 5))
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+
+def test_a_whole_passage_counts_though_others_score_higher(spark, tmp_path, monkeypatch):
+    from attestor.operators import retrieval
+    from attestor.plans import gate_queries
+
+    def only_blocks(*_):
+        raise AssertionError("pairs are shuffled")
+
+    monkeypatch.setattr(gate_queries.detect, "by_fields", only_blocks)
+    monkeypatch.setattr(retrieval, "bm25", only_blocks)
+    docs = [(k, f"Vert bleu{k} rouge vert. Bleu jaune rouge.") for k in range(8)] + [(20, "Noir blanc. Vert rouge bleu jaune"), (21, "jaune")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "vert rouge bleu jaune"), (2, "inconnu"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = sorted((r.item_id, r.rank, r.doc_id) for r in gate_queries.rank_fields(spark, str(tmp_path)).collect())
+    assert rows == [(1, 1, 20), (1, 2, 0), (1, 3, 1), (1, 4, 2), (1, 5, 3)]
