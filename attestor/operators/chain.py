@@ -89,7 +89,7 @@ def gates(world: World, questions: DataFrame, asked: P.Asked) -> tuple[DataFrame
     strange = asked.subjects.join(world.scope, "term", "left_anti").groupBy("item_id").agg(F.count(F.lit(1)).alias("strange"))
     sizes = asked.subjects.groupBy("item_id").agg(F.count(F.lit(1)).alias("subjects"))
     unknown = qualifiers(world, asked).join(asked.concepts.select("item_id").distinct(), "item_id", "left_semi").where(~F.col("term").isin(*MODIFIERS))
-    unknown = written(unknown.join(world.index.stem_df.select("term"), "term", "left_anti").select("item_id", "term"))
+    unknown = written(unknown.join(world.index.df.select("term"), "term", "left_anti").select("item_id", "term"))
     rows = questions.select("item_id", F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("words"), said.rlike(ABSENCE).alias("absence"), said.rlike(RANKING).alias("ranking"))
     for more in (asked.intents, named, strange, sizes, unknown.select("item_id").distinct().withColumn("unknown", F.lit(True))):
         rows = rows.join(more, "item_id", "left")
@@ -119,17 +119,18 @@ def targeted(world: World, asked: P.Asked, found: DataFrame) -> DataFrame:
 def _held(world: World, rows: DataFrame) -> DataFrame:
     """rows (item_id, doc_id) with each term of title, section and text of their records."""
     inside = P.FIELDS["text"] | P.FIELDS["title"] | P.FIELDS["section"]
-    return rows.select("item_id", "doc_id").join(world.index.stems.where(F.col("fields").bitwiseAND(inside) != 0).select("doc_id", "term"), "doc_id")
+    return rows.select("item_id", "doc_id").join(world.index.terms.where(F.col("fields").bitwiseAND(inside) != 0).select("doc_id", "term"), "doc_id")
 
 
 def one_pass(world: World, questions: DataFrame, limit: int) -> Pass:
     asked = P.analysed(questions, world.ontology, world.entities.select("entity", "alias"))
     refused, unknown = gates(world, questions, asked)
     active = replace(asked, subjects=_without(asked.subjects, refused), concepts=_without(asked.concepts, refused), entities=_without(asked.entities, refused), numbers=_without(asked.numbers, refused))
-    values = written(P.concept_values(world.index, active.concepts, _concept_terms(world), world.anchors))
-    scored = P.term_profile(world.index, active, values)
-    near = written(P.coherent(P.relevant(scored, active)))
-    chosen = P.diversify(near, F.lit(2), F.when(F.col("compare"), 4).otherwise(5), limit)
+    near = written(P.coherent(P.term_profile(world.index, active, _concept_terms(world), world.anchors, of_path=2)))
+    chosen = written(P.diversify(near, F.lit(2), F.when(F.col("compare"), 4).otherwise(5), limit))
+    # which concepts the chosen records match is found again, for these alone
+    few = replace(world.index, terms=written(world.index.terms.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")))
+    values = P.concept_values(few, active.concepts, _concept_terms(world), world.anchors)
     matched = chosen.join(active.concepts.select("item_id", "concept"), "item_id").join(values.select("concept", "doc_id"), ["concept", "doc_id"])
     named = matched.groupBy("item_id", "doc_id").agg(F.collect_set("concept").alias("named"))
     found = chosen.join(near.select("item_id", "doc_id", "entity", "path", "kind"), ["item_id", "doc_id"]).join(named, ["item_id", "doc_id"], "left")
