@@ -119,11 +119,13 @@ def evidence_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     kind = F.when(F.col("quality") == 0, "note").otherwise("document")
     best = written(R.best(index, asked, 5).select("item_id", "rank", "doc_id", "score"))
-    evidence = best.join(docs.select("doc_id", "source", "text"), "doc_id").join(beside, "doc_id")
+    # the few rows of each step are written, so that Spark knows their size and sends them to the texts, not the texts to them
+    best = written(best.join(beside, "doc_id"))
+    evidence = best.join(docs.select("doc_id", "source", "text"), "doc_id")
     title = F.get(T.sentences(F.col("text")), F.lit(0))
     evidence = written(evidence.select("item_id", "rank", F.col("doc_id").alias("record"), "score", F.col("source").alias("entity"), F.col("source").alias("path"), F.lit(None).cast("long").alias("section"), title.alias("title"), "text", "sources"))
     # only records that the evidence is, or cites, are cut into chunks
-    touched = evidence.select(F.explode(F.concat("sources", F.array("record"))).alias("doc_id")).distinct()
+    touched = written(best.select(F.explode(F.concat("sources", F.array("doc_id"))).alias("doc_id")).distinct())
     cut = docs.join(touched, "doc_id", "left_semi").join(grade, "doc_id", "left").select("doc_id", "source", kind.alias("kind"), T.sentences(F.col("text")).alias("said"))
     cut = cut.select(F.col("doc_id").alias("record"), F.col("source").alias("entity"), F.col("source").alias("path"), "kind", F.get("said", F.lit(0)).alias("title"), F.posexplode("said").alias("chunk", "text"))
     chunks = cut.withColumn("section", F.floor(F.col("chunk") / 20))
