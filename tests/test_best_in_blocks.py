@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from attestor.operators import retrieval as R
 from attestor.plans import provenance_queries
 
@@ -21,6 +23,24 @@ def test_best_deals_out_only_postings_of_asked_terms(spark, monkeypatch):
     assert {r.term for r in dealt[0].select("term").distinct().collect()} == {"vert", "rouge", "bleu7"}
 
 
+def test_ranked_rows_go_to_the_texts(spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(k, f"Un chat dort sur le mur numero {k}." + "".join(f" Mot{rng.randrange(10**9)} dit mot{rng.randrange(10**9)}." for _ in range(60))) for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    # of unknown size to Spark, as ranks over all texts are
+    ranked = spark.range(10**7).where("id < 2").select(F.lit(1).alias("item_id"), F.col("id").alias("doc_id"), (F.col("id") + 1).alias("rank"))
+    asked = spark.createDataFrame([(1, "chat"), (1, "mur")], "item_id int, term string")
+    before = spark.conf.get(THRESHOLD)
+    spark.conf.set(THRESHOLD, "16k")
+    try:
+        found = R.extract_sentences(ranked, spark.read.parquet(f"{tmp_path}/d"), asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(THRESHOLD, before)
+    assert "BroadcastHashJoin [doc_id" in plan and not re.search(r"SortMergeJoin \[(doc_)?id", plan)
+    assert [(r.place, r.doc_id) for r in found.orderBy("place").collect()] == [(1, 0), (2, 1)]
+
+
 def test_cited_records_go_to_the_texts(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     docs = [(k, " ".join(f"Mot{rng.randrange(10**9)} dit nombre {k}." for _ in range(60)), "fr", f"s{k % 4}") for k in range(60)]
